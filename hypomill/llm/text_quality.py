@@ -273,3 +273,27 @@ def classify(documents: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 def found(documents: DataFrame) -> DataFrame:
     """p9_found: (doc_id, kind) of every text that is not natural prose."""
     return classify(documents).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def plain_statistics(documents: DataFrame) -> DataFrame:
+    """Per document: words, mean word length, symbol ratio, share of lines that end in punctuation
+    and share of common words, as plain JVM expressions. Every document has a row; a null or
+    blank text has 0 words and null shares."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " "), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\r]"))
+    solid = F.length(F.regexp_replace(text, r"[ \t\r\n]+", ""))
+    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N} \t\r\n]+", ""))
+    common = F.array(*map(F.lit, sorted(w for w in COMMON_WORDS)))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    base = documents.select("doc_id", words.alias("w"), lines.alias("l"), solid.alias("solid"), symbols.alias("symbols"), letters.alias("letters"))
+
+    def share(part, whole):
+        return F.when(whole > 0, F.round(part / whole, 6))
+
+    n, k = F.size("w"), F.size("l")
+    return base.select(
+        "doc_id", n.cast("long").alias("words"), share(F.col("letters"), n).alias("mean_word_length"), share(F.col("symbols"), F.col("solid")).alias("symbol_ratio"),
+        share(F.size(F.filter("l", lambda x: x.rlike(r"[.!?…][ \t\r]*$"))), k).alias("line_end_share"),
+        share(F.size(F.filter(F.transform("w", F.lower), lambda x: F.array_contains(common, x))), n).alias("common_share"),
+    )
