@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -46,6 +47,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table counts as small enough to be sent to every executor.
+SMALL_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, name: str = "small", most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` written once and, if it has at most ``most`` rows, marked for broadcast.
+
+    A larger one comes back unmarked: its join then shuffles, and AQE splits hot keys.
+    """
+    written = materialize(df, name)
+    small = written.limit(most + 1).count() <= most
+    return F.broadcast(written) if small else written
+
+
 _shipped: set[str] = set()
 
 
