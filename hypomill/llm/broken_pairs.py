@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -182,15 +183,29 @@ class Request:
         self.sentences = [plain(x) for x in re.split(r"(?<=[.!?])\s+", self.passage) if x.strip()]
 
 
+#: Cells of an alignment table from which it is filled a row at a time.
+_CELLS = 20_000
+
+
 def left_over(reply: list[str], text: list[str]) -> tuple[int, int, bool]:
     """Align a reply with the start of a text: (edits, words left of the text, last word cut short)."""
-    best = (len(reply), len(text), False)
     last = list(range(len(text) + 1))
-    for i, w in enumerate(reply, 1):
-        row = [i]
-        for j, v in enumerate(text, 1):
-            row.append(min(last[j - 1] + (w != v), last[j] + 1, row[j - 1] + 1))
-        last = row
+    if len(reply) * len(text) > _CELLS:
+        ids: dict[str, int] = {}
+        x, y = (np.array([ids.setdefault(w, len(ids)) for w in ws]) for ws in (reply, text))
+        row, at = np.array(last), np.arange(len(text) + 1)
+        for i, w in enumerate(x, 1):
+            new = np.minimum(row[:-1] + (y != w), row[1:] + 1)
+            # insertions: the least of what stands further left, a word dearer each
+            row = np.minimum.accumulate(np.concatenate(([i], new)) - at) + at
+        last = row.tolist()
+    else:
+        for i, w in enumerate(reply, 1):
+            row = [i]
+            for j, v in enumerate(text, 1):
+                row.append(min(last[j - 1] + (w != v), last[j] + 1, row[j - 1] + 1))
+            last = row
+    best = (len(reply), len(text), False)
     for j in range(len(text), -1, -1):
         cut = bool(j) and bool(reply) and reply[-1] != text[j - 1] and len(reply[-1]) < len(text[j - 1]) and text[j - 1].startswith(reply[-1])
         cost = last[j] - cut

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hypomill.runtime import bounded_broadcast, materialize
+
 SCORES = ("ec_sequence_score", "asr_sequence_score", "combined_score")
 #: Steps of the percentile scale.
 GRID = 1_000_000
@@ -23,8 +25,6 @@ FULL = 200_000
 SENTINELS = (-9999.0, 9999.0, -99999.0, 99999.0)
 #: A score this many times the 10-90 % range away from its group's median is no score.
 ABSURD = 200.0
-#: Ranges into which a group's values are cut, so no task sorts a whole group.
-RANGES = 32
 #: Net flows are compared at this resolution; RANK_RANGES ranges of them are ranked apart.
 FLOW_STEPS, RANK_RANGES = 1_000_000_000, 1024
 
@@ -40,30 +40,33 @@ def long_scores(items: DataFrame, id_col: str, group_col: str, scores: tuple[str
     return items.select(F.col(id_col).alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("group"), F.explode(F.array(*each)).alias("e")).select("id", "group", "e.score", "e.v")
 
 
-def cut_points(values: DataFrame) -> DataFrame:
-    """Per group and score: range borders and the span of credible values. A few numbers a group."""
-    at = [k / RANGES for k in range(1, RANGES)]
-    q = F.percentile_approx("v", F.array(*map(F.lit, [*at, 0.1, 0.5, 0.9])), F.lit(2000))
-    spread = F.greatest(F.col("q")[RANGES + 1] - F.col("q")[RANGES - 1], F.lit(1e-9))
+def credible(values: DataFrame) -> DataFrame:
+    """Per group and score the span of credible values: three approximate quantiles a group."""
+    q = F.percentile_approx("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(2000))
+    spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-9))
     return values.groupBy("group", "score").agg(q.alias("q")).select(
-        "group", "score", F.slice("q", 1, RANGES - 1).alias("borders"),
-        (F.col("q")[RANGES] - ABSURD * spread).alias("low"), (F.col("q")[RANGES] + ABSURD * spread).alias("high"),
-    )
+        "group", "score", (F.col("q")[1] - ABSURD * spread).alias("low"), (F.col("q")[1] + ABSURD * spread).alias("high"))
 
 
 def percentiles(values: DataFrame) -> DataFrame:
     """(group, score, v, n, x): each distinct valid value, its items and its mid-rank percentile.
 
-    Equal values are counted together before any shuffle; ranks come from prefix sums within
-    ranges of a group plus the items of the ranges below.
+    Equal values are counted together before any shuffle. The distinct values are then range
+    partitioned, into as many ranges as the session has shuffle partitions; a rank is the
+    prefix sum within a range plus the items of the group's lower ranges. However large a
+    group, no task holds more than a range of it.
     """
-    cut = values.join(cut_points(values), ["group", "score"]).where("v between low and high")
-    ranged = cut.withColumn("r", F.size(F.filter("borders", lambda b: b < F.col("v"))))
-    counted = ranged.groupBy("group", "score", "r", "v").agg(F.count(F.lit(1)).alias("n"))
-    inside = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("group", "score", "r").orderBy("v")))
-    ranges = ranged.groupBy("group", "score", "r").agg(F.count(F.lit(1)).alias("m"))
+    spark = values.sparkSession
+    cut = values.join(bounded_broadcast(credible(values), "p1-credible"), ["group", "score"]).where("v between low and high")
+    counted = cut.groupBy("group", "score", "v").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written once, because the ranges must not change between the two reads below
+    ranged = materialize(counted.repartitionByRange(parts, "group", "score", "v").withColumn("r", F.spark_partition_id()), "p1-ranges")
+    inside = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("group", "score", "r").orderBy("v")))
     whole = Window.partitionBy("group", "score")
-    ranges = ranges.select("group", "score", "r", (F.sum("m").over(whole.orderBy("r")) - F.col("m")).alias("below"), F.sum("m").over(whole).alias("all"))
+    ranges = ranged.groupBy("group", "score", "r").agg(F.sum("n").alias("m")).select(
+        "group", "score", "r", (F.sum("m").over(whole.orderBy("r")) - F.col("m")).alias("below"), F.sum("m").over(whole).alias("all"))
+    # twice the mid-rank is an integer
     return inside.join(ranges, ["group", "score", "r"]).select("group", "score", "v", "n", F.expr(f"(2 * (below + upto) - n) * {GRID} div (2 * all)").alias("x"))
 
 

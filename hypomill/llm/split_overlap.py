@@ -92,24 +92,45 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+#: Cells of an alignment band from which it is filled a row at a time.
+_CELLS = 20_000
+
+
 def within_edits(a: list[str], b: list[str], most: int) -> bool:
-    """Whether the word edit distance of ``a`` and ``b`` is at most ``most`` (banded)."""
+    """Whether the word edit distance of ``a`` and ``b`` is at most ``most``; only the band of cells that can matter is filled."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
     far = most + 1
+    if n * (2 * most + 1) > _CELLS:
+        ids: dict[str, int] = {}
+        x, y = (np.array([ids.setdefault(w, len(ids)) for w in ws]) for ws in (a, b))
+        row = np.minimum(np.arange(m + 1), far)
+        for i in range(1, n + 1):
+            low, high = max(1, i - most), min(m, i + most)
+            new = np.minimum(row[low - 1 : high] + (y[low - 1 : high] != x[i - 1]), row[low : high + 1] + 1)
+            at = np.arange(low - 1, high + 1)
+            first = i if low == 1 else far
+            new = np.minimum.accumulate(np.concatenate(([first], new)) - at) + at
+            row = np.full(m + 1, far)
+            row[low - 1 : high + 1] = np.minimum(new, far)
+            if low > 1:
+                row[low - 1] = far
+            if row.min() > most:
+                return False
+        return bool(row[m] <= most)
     last = [j if j <= most else far for j in range(m + 1)]
     for i in range(1, n + 1):
         low, high = max(1, i - most), min(m, i + most)
         row = [far] * (m + 1)
         row[0] = i if i <= most else far
-        least, x = far, a[i - 1]
+        least, x = row[0], a[i - 1]
         for j in range(low, high + 1):
             v = last[j - 1] if x == b[j - 1] else 1 + min(last[j - 1], last[j], row[j - 1])
             row[j] = v
             if v < least:
                 least = v
-        if least > most and row[0] > most:
+        if least > most:
             return False
         last = row
     return last[m] <= most

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypomill.llm.broken_pairs import OWN_WORDS, Request, _lone_label, _most_tokens, _stops_early, explained, left_over, plain, unwrap
+from hypomill.llm.broken_pairs import Request, _lone_label, _most_tokens, _stops_early, explained, left_over, plain, unwrap
+from hypomill.runtime import bounded_broadcast
 
 #: Log-odds of a broken transfer before any evidence, and what each finding adds.
 TRANSFER_PRIOR = -3.5
@@ -130,7 +131,7 @@ def fit_sources(texts: DataFrame) -> DataFrame:
         .groupBy("source", style(F.col("text")).alias("style"), ends_marked(F.col("text")).alias("marked"), F.length("text").alias("length"))
         .agg(F.count(F.lit(1)).alias("n"), F.count(ratio).alias("n_ratio"), F.coalesce(F.sum(ratio), F.lit(0.0)).alias("sum_ratio"), F.coalesce(F.sum(ratio * ratio), F.lit(0.0)).alias("sum_ratio2"))
     )
-    return counts.groupBy("source").applyInPandas(_fit_source, _FIT)
+    return bounded_broadcast(counts.groupBy("source").applyInPandas(_fit_source, _FIT), "p3-fits")
 
 
 def ending_odds(text: str, references: list[str], flag: bool | None, limit: int | None, limit_odds: float, mark_share: float) -> float:
@@ -228,7 +229,7 @@ def replies_judged(exchanges: DataFrame) -> DataFrame:
         F.col("exchange_id").alias("record_id"), F.col("model_id").alias("source"), F.col("raw_response").alias("text"), F.col("output_tokens").alias("tokens"),
         "generation_parameters", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
     )
-    fits = fit_sources(texts.select("source", "text", "tokens")).select("source", "char_limit", "limit_odds", "log_ratio", "log_ratio_sd")
+    fits = fit_sources(texts.select("source", "text", "tokens"))
     joined = texts.join(fits, "source", "left").select("record_id", "source", "messages", "text", "tokens", "generation_parameters", "char_limit", "limit_odds", "log_ratio", "log_ratio_sd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
