@@ -26,6 +26,10 @@ INSTRUCTION_SHARE, PASSAGE_SHARE, QUOTED_PASSAGE_SHARE = 0.5, 0.3, 0.8
 LIST_RATIO = 1.5
 #: Share of the reply explained by the request from which its words are the request's own.
 OWN_WORDS = 0.5
+#: Share below which next to nothing of it is.
+UNKNOWN_WORDS = 0.3
+#: Replies of so few words are too short for compression; their words are looked up instead.
+SHORT_REPLY = 6
 
 # Replies without content.
 NO_CONTENT = frozenset(
@@ -36,13 +40,15 @@ NO_CONTENT = frozenset(
 FUNCTION_WORDS = {
     "en": "the a an and or but of to in on at by for with from as is was are this that these those it its his her their our "
           "each every some any another when while because although until before after since whereas so under over near above "
-          "below behind beside between through along across around against among beneath beyond inside outside past toward within".split(),
+          "below behind beside between through along across around against among beneath beyond inside outside past toward within "
+          "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen twenty thirty forty fifty sixty "
+          "seventy eighty ninety last next ago".split(),
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht mit von zu im am auf für ist war als auch "
           "sich weil denn wenn obwohl während sobald nach vor hinter unter neben gegen ohne ich kann dabei".split(),
     "fr": "le la les un une des du de et ou mais ne pas avec pour dans sur sans au aux en est que qui car puisque quand pendant "
           "avant après derrière sous comme lorsque je vous l d".split(),
     "es": "el la los las un una unos unas de del y o pero con por para al en es que porque aunque cuando mientras sin antes "
-          "después detrás bajo hacia junto lo no se pues".split(),
+          "después detrás bajo hacia junto lo se pues".split(),
 }
 # Word endings that set apart languages with common function words.
 _endings = {"fr": re.compile(r"(?:ait|aient|eux|eau|eille|elle|ette|oire?|onne|que)$"), "es": re.compile(r"(?:aba|aban|ía|ción|dad|illo|illa|ero|aje|ó)$")}
@@ -70,6 +76,7 @@ _label = re.compile(
     r"^(?:(?:corrected |final )?(?:transcript(?:ion)?|answer|text|result|summary|output|antwort|transkript|réponse|respuesta)|"
     r"candidate \d+|here is (?:the )?(?:result|answer|transcript|summary)|(?:sure|ok|okay|hmm|certainly|task|well|of course))\s*[:.,!]\s+", re.I)
 _lone_label = re.compile(r"^(?:(?:corrected |final )?(?:transcript(?:ion)?|answer|text|result|summary|output)|here is (?:the )?(?:result|answer|transcript|summary))\s*:?$", re.I)
+_choice = re.compile(r"^(?:rank|candidate|hypothesis|option|number|no|nr|rang|numéro|número|kandidat|candidat|candidato)?[.:# ]*\d{1,4}[.):]?$", re.I)
 _candidate = re.compile(r"^\s*(?:\(?\d{1,3}[.):]|#\d+|\[\d+\]|[-•*])\s+(?=\S)")
 _unfinished_json = re.compile(r'^[{\[]\s*"?\w*"?\s*:?\s*"?')
 
@@ -219,6 +226,8 @@ def _stops_early(content: str, words: list[str], request: Request, own: float, a
     end = content.rstrip().rstrip("\"'”»)*_`")[-1:]
     if end in (".", "!", "?", "…") and not content.rstrip().endswith("..."):
         return False
+    if request.candidates and content[:1].isupper() and len(words) > 1:
+        return True  # written as a sentence, but for its end
     if request.candidates and own >= OWN_WORDS:
         if words in request.candidates:
             return False
@@ -226,11 +235,11 @@ def _stops_early(content: str, words: list[str], request: Request, own: float, a
         least = min(f[0] for f in fits)
         # the candidates that the reply follows best; a complete one of them settles it
         near = [f for f in fits if f[0] <= least + 1]
-        if any(left == 0 and not cut for _, left, cut in near):
-            return content[:1].isupper() and end in (",", ";", ":", "-")
-        return True
+        if any(cut for _, _, cut in near) and not any(words[-1] in c for c in request.candidates):
+            return True  # the first letters of the word that follows, and no word of the list
+        return not any(left == 0 and not cut for _, left, cut in near)
     if request.candidates:
-        return content[:1].isupper() or at_limit or end in (",", ";", ":", "-")
+        return at_limit or end in (",", ";", ":", "-")
     if len(words) < 3:
         return False
     # answers and summaries are sentences; one without its end goes on, unless its words end a sentence of the passage
@@ -248,11 +257,13 @@ def defect(messages: list[dict] | None, reply: str | None, output_tokens: int |
     if not words or content.lower().strip() in NO_CONTENT or _lone_label.match(content) or reply.strip().lower() in NO_CONTENT:
         return "empty"
     request = Request(messages)
+    if _choice.match(content):
+        return None if closed else "truncated"
     said = " ".join(words)
     instruction, passage = " ".join(plain(request.instruction)), " ".join(plain(request.passage))
     if len(words) >= 4 and len(instruction.split()) >= 4 and explained(instruction, said) >= INSTRUCTION_SHARE:
         return "copied"
-    own = explained(said, " ".join(plain(request.everything)))
+    own = own_share(words, request)
     if request.candidates:
         length = sum(map(len, request.candidates)) / len(request.candidates)
         lines = [x for x in content.split("\n") if _candidate.match(x)]
@@ -269,7 +280,9 @@ def defect(messages: list[dict] | None, reply: str | None, output_tokens: int |
         asked = language_scores(request.text)
         spoken = language_scores(content)
         first, second = sorted(asked.values(), reverse=True)[:2]
-        if first > second and max(spoken.values()) - spoken[max(asked, key=asked.get)] >= (1.5 if len(words) > 5 else 1):
+        # a correction or an answer takes its words from the request; few words of another language tell enough
+        bound = bool(request.candidates or request.question) and own < UNKNOWN_WORDS
+        if first > second and max(spoken.values()) - spoken[max(asked, key=asked.get)] >= (1 if bound or len(words) < 6 else 1.5):
             return "wrong_language"
     if not closed:
         return "truncated"
@@ -277,6 +290,15 @@ def defect(messages: list[dict] | None, reply: str | None, output_tokens: int |
     return "truncated" if _stops_early(content, words, request, own, at_limit) else None
 
 
+def own_share(words: list[str], request: Request) -> float:
+    """How much of a reply is the request's own words."""
+    share = explained(" ".join(words), " ".join(plain(request.everything)))
+    if len(words) <= SHORT_REPLY:
+        known = set(plain(request.text))
+        share = max(share, sum(w in known and not w.isdigit() for w in words) / len(words))
+    return share
+
+
 def _sentences_held(request: Request, said: str) -> int:
     """How many of the passage's sentences the reply holds, wholly or for the most part."""
     held, around = 0, f" {said} "

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypomill.llm.broken_pairs import Request, _lone_label, _most_tokens, _stops_early, explained, left_over, plain, unwrap
+from hypomill.llm.broken_pairs import Request, _choice, _lone_label, _most_tokens, _stops_early, left_over, own_share, plain, unwrap
 from hypomill.runtime import bounded_broadcast
 
 #: Log-odds of a broken transfer before any evidence, and what each finding adds.
@@ -176,7 +176,7 @@ def reply_odds(messages, reply: str, tokens: int | None, most_tokens: int | None
     """Log-odds that a stored reply was cut."""
     content, closed = unwrap(reply)
     words = plain(content)
-    if not words or _lone_label.match(content):
+    if not words or _lone_label.match(content) or _choice.match(content):
         return TRANSFER_PRIOR + ON_TIME
     at_limit = limit is not None and len(reply) >= limit
     at_tokens = bool(tokens and most_tokens and tokens >= most_tokens)
@@ -186,7 +186,7 @@ def reply_odds(messages, reply: str, tokens: int | None, most_tokens: int | None
     if not closed:
         return odds + UNCLOSED
     request = Request(messages)
-    own = explained(" ".join(words), " ".join(plain(request.everything)))
+    own = own_share(words, request)
     if _stops_early(content, words, request, own, at_tokens or at_limit):
         odds += EARLY
         if tokens and log_ratio is not None and len(reply) > 20 and (math.log(tokens / len(reply)) - log_ratio) / max(0.05, log_ratio_sd or 1) > 2.5:
