@@ -26,8 +26,8 @@ MIN_WORDS = 8
 #: Allowed edits as hundredths of the longer text's word count.
 EDIT_PERCENT = 15
 #: Minwise hashes: BANDS buckets of ROWS hashes each. The loosest admitted pair (Jaccard 0.52
-#: on word pairs) shares a bucket with probability 0.97, a pair with one edit fewer 0.999.
-BANDS, ROWS = 24, 3
+#: on word pairs) shares a bucket with probability 0.99, a pair with one edit fewer 0.9999.
+BANDS, ROWS = 32, 3
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
