@@ -49,8 +49,33 @@ class Node:
         return F.md5(F.array_join(listed if self.ordered else F.array_sort(listed), ","))
 
 
+@dataclass(frozen=True)
+class _Ready(Leaf):
+    """A leaf whose canonical text is a column already."""
+
+    def canonical(self) -> Column:
+        return self.value
+
+
 def with_root_digest(df: DataFrame, root: Node, digest: str = "root_digest", canonical: str = "canonical") -> DataFrame:
-    return df.withColumns({digest: F.unhex(root.digest()), canonical: root.canonical()})
+    """Adds the root's digest and its whole canonical form.
+
+    Leaves become columns first, so each is normalised once for both; neither column is
+    nullable, so no join repeats the hashing to look for nulls.
+    """
+    leaves: dict[str, Column] = {}
+
+    def named(node: Leaf | Node) -> Leaf | Node:
+        if isinstance(node, Node):
+            return Node({n: named(c) for n, c in node.children.items()}, node.ordered)
+        name = f"_leaf{len(leaves)}"
+        leaves[name] = node.canonical()
+        return _Ready(F.col(name))
+
+    tree = named(root)
+    ready = df.withColumns(leaves)
+    hashed = F.coalesce(F.unhex(tree.digest()), F.lit(b""))
+    return ready.withColumns({digest: hashed, canonical: tree.canonical()}).drop(*leaves)
 
 
 def group_copies(df: DataFrame, id_col: str) -> DataFrame:
@@ -84,14 +109,13 @@ def hypothesis_lines(lines: DataFrame) -> DataFrame:
     hypothesis: they are left out and are nobody's copy. A null or missing single field
     equals only another null. Extra payload fields and extra columns are ignored.
     """
-    record = F.from_json("payload", "utt_id string, rank double, text_raw string")
-    parsed = lines.select("line_id", record.alias("r")).where(
-        F.col("r").isNotNull() & F.coalesce(F.col("r.utt_id"), F.col("r.rank").cast("string"), F.col("r.text_raw")).isNotNull()
-    )
+    # a generator reads each payload once; expressions over from_json would be evaluated again for every field and filter
+    fields = lines.select("line_id", F.json_tuple("payload", "utt_id", "rank", "text_raw").alias("utt_id", "rank", "text_raw"))
+    parsed = fields.where("utt_id is not null or rank is not null or text_raw is not null")
     root = Node({
-        "utt_id": Leaf(F.col("r.utt_id")),
-        "rank": Leaf(F.col("r.rank")),
-        "text": Leaf(letters_and_digits(F.col("r.text_raw"))),
+        "utt_id": Leaf(F.col("utt_id")),
+        "rank": Leaf(F.expr("try_cast(rank as double)")),
+        "text": Leaf(letters_and_digits(F.col("text_raw"))),
     })
     return with_root_digest(parsed, root).select("line_id", "root_digest", "canonical")
 
