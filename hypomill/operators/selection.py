@@ -56,10 +56,6 @@ def combined(weight: Column, ec: Column, asr: Column) -> Column:
     return weight * ec + (F.lit(1.0) - weight) * asr
 
 
-def _preferred(*order: Column) -> Column:
-    return F.struct(*order)
-
-
 def constrained(rows: DataFrame, weight: Column, *keys: str) -> DataFrame:
     """Per record (and key) the candidate with the highest combined score; then correction score, then rank.
 
@@ -68,7 +64,7 @@ def constrained(rows: DataFrame, weight: Column, *keys: str) -> DataFrame:
     """
     c = combined(weight, F.col("ec_score"), F.col("sequence_logscore"))
     best = F.max_by(F.struct("rank", "text_raw", "ec_score", "sequence_logscore", c.alias("combined_score"), *[F.col(x) for x in ("edits",) if x in rows.columns]),
-                    _preferred(c.alias("c"), F.col("ec_score"), (-F.col("rank")).alias("r"), F.col("text_raw")))
+                    F.struct(c.alias("c"), F.col("ec_score"), (-F.col("rank")).alias("r"), F.col("text_raw")))
     return rows.groupBy("record_id", *keys).agg(best.alias("b")).select("record_id", *keys, "b.*")
 
 
@@ -82,13 +78,20 @@ def finite_scores(rows: DataFrame) -> DataFrame:
 def weight_curve(rows: DataFrame, grid: list[float] = GRID) -> DataFrame:
     """Corpus error rate of constrained decoding at every weight of the grid. ``rows`` carry ``edits``.
 
-    The grid is broadcast to candidates already aligned: 21 comparisons a candidate, no alignment.
+    Candidates are aligned once and gathered once per record; every weight then picks its
+    candidate inside the row, so the grid multiplies no shuffle.
     """
     if not grid or any(not 0 <= x <= 1 for x in grid):
         raise DecodingError("weights must lie within [0, 1]")
-    weights = rows.sparkSession.createDataFrame([(x,) for x in grid], "lmb double")
-    chosen = constrained(rows.crossJoin(F.broadcast(weights)), F.col("lmb"), "lmb")
-    return corpus_metrics(chosen, "lmb")
+    member = F.struct("ec_score", (-F.col("rank")).alias("r"), "text_raw", F.col("sequence_logscore").alias("s"), "edits")
+    lists = rows.groupBy("record_id").agg(F.collect_list(member).alias("c"))  # one record's candidates: as many as a decoder keeps
+
+    def best(weight: Column) -> Column:
+        order = F.transform("c", lambda x: F.struct(combined(weight, x["ec_score"], x["s"]).alias("v"), x["ec_score"].alias("e"), x["r"].alias("r"), x["text_raw"].alias("t"), x["edits"].alias("edits")))
+        return F.struct(weight.alias("lmb"), F.array_max(order)["edits"].alias("edits"))
+
+    weights = F.array(*(F.lit(float(w)) for w in grid))
+    return corpus_metrics(lists.select(F.inline(F.transform(weights, best))), "lmb")
 
 
 def select_weight(curve: DataFrame) -> DataFrame:
