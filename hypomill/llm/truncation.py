@@ -30,6 +30,10 @@ LEFT_OVER = (-4.0, -2.0, -0.5, 1.0, 2.5, 3.5, 4.8)  # 0, 1, ... 6 or more words
 SAME_END, CUT_WORD, END_MARK, HANGING_BLANK, TRAILING_OFF = -8.0, 5.0, -7.0, 5.0, -6.0
 NO_MARK = 5.0  # times the share of the source's texts of this style that have one, squared
 EARLY, ON_TIME, UNCLOSED, SHORT_OF_TOKENS, AT_TOKEN_LIMIT = 4.0, -4.0, 7.0, 5.0, 3.0
+#: A last word of one or two letters that is none of these is a fragment.
+FRAGMENT = 4.0
+# Words of one and two letters, and sounds of hesitation.
+SHORT_WORDS = frozenset("a i an as at be by do go he if in is it me my no of on or so to up us we ah eh er hm mm oh ok uh um".split())
 #: A length is a limit from so many texts, and so many times what the fit has there.
 LIMIT_TEXTS, LIMIT_TIMES = 5, 6.0
 
@@ -168,6 +172,8 @@ def ending_odds(text: str, references: list[str], flag: bool | None, limit: int
             # the first letters of the very word that follows: by chance only where the word may just be misheard
             missing = len(full[len(full) - left - 1]) - len(words[-1])
             e = max(e, 0.0) + CUT_WORD if left or missing > 2 or at_limit else e + 1.0
+        if len(words[-1]) <= 2 and not cut and words[-1].isalpha() and words[-1] not in SHORT_WORDS and words[-1] not in full:
+            e += FRAGMENT
         best = e if best is None else min(best, e)
     return odds + (best or 0.0)
 
