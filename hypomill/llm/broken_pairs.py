@@ -221,11 +221,24 @@ def left_over(reply: list[str], text: list[str]) -> tuple[int, int, bool]:
     return best
 
 
+def _gives_back(words: list[str], request: Request) -> bool:
+    """Whether a reply of the request's words is more than one candidate, or its instruction."""
+    length = sum(map(len, request.candidates)) / len(request.candidates)
+    asked = " ".join(plain(request.instruction))
+    return len(words) >= LIST_RATIO * length + 1 or (len(words) > 3 and explained(asked, " ".join(words)) >= INSTRUCTION_SHARE)
+
+
 def _stops_early(content: str, words: list[str], request: Request, own: float, at_limit: bool) -> bool:
     """The terminal-context model: does the text go on where the reply ends?"""
     end = content.rstrip().rstrip("\"'”»)*_`")[-1:]
     if end in (".", "!", "?", "…") and not content.rstrip().endswith("..."):
         return False
+    if request.candidates and own >= OWN_WORDS and _gives_back(words, request):
+        if any(words[-3:] == c[-3:] for c in request.candidates):
+            return False
+        asked, listed = plain(request.instruction), [w for c in request.candidates for w in c]
+        _, left, cut = min((left_over(words, t) for t in (asked, listed, asked + listed, listed + asked)), key=lambda f: (f[0], f[1]))
+        return cut or left > 3
     if request.candidates and content[:1].isupper() and len(words) > 1:
         return True  # written as a sentence, but for its end
     if request.candidates and own >= OWN_WORDS:
