@@ -308,10 +308,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_word_links(spark: SparkSession, d: str) -> DataFrame:
-    """Words and their mean probability per hypothesis, linked by interval containment."""
+    """Words and their summed probability in thousandths per hypothesis, linked by interval containment."""
     nodes = flatten.interval_nodes(_records(spark, d))
     linked = flatten.contained(flatten.flat_table(nodes, "word"), flatten.flat_table(nodes, "hypothesis"))
-    return linked.groupBy("record_id", F.col("up_hyp_pos").alias("hyp_pos")).agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("number") / F.count("number"), 6).alias("mean_probability"))
+    return linked.groupBy("record_id", F.col("up_hyp_pos").alias("hyp_pos")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.round(F.col("number") * 1000).cast("long")).alias("thousandths"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -116,7 +116,28 @@ _FIRST_ORACLE = f"""{_ORACLE},
 both_sides as (select f.record_id, f.system_id, f.e as ea, f.reference_tokens as ra, b.e as eb, b.reference_tokens as rb from scored f join best b using (record_id) where f.rank = 1)"""
 _SPLIT = "replace(lower(trim(split)), '_', '-')"
 
+# What stands in place of an array is its only element; JSON text that holds JSON text is opened once.
+_NODES = """
+hyps as (select record_id, h, pos - 1 as hyp_pos from (select record_id, unnest(asr.hypotheses) as h, generate_subscripts(asr.hypotheses, 1) as pos from utterance_records)),
+valid as (select record_id, hyp_pos, case when json_valid(h.metadata) then h.metadata else '{}' end as m from hyps),
+once as (select record_id, hyp_pos, case when json_type(m) = 'VARCHAR' then json_extract_string(m, '$') else m end as m from valid),
+opened as (select record_id, hyp_pos, case when json_valid(m) then m else '{}' end as m from once),
+found as (select record_id, hyp_pos, t.value as v, t.type as kind from opened, json_tree(m) t where t.key = 'segments'),
+segments as (
+  select record_id, hyp_pos, unnest(e) as s, generate_subscripts(e, 1) - 1 as pos_one
+  from (select *, case kind when 'ARRAY' then from_json(v, '["JSON"]') when 'OBJECT' then [v::json] else [] end as e from found)),
+words as (
+  select record_id, hyp_pos, pos_one, unnest(e) as w, generate_subscripts(e, 1) - 1 as pos_two
+  from (select *, case json_type(s, '$.words') when 'ARRAY' then from_json(json_extract(s, '$.words'), '["JSON"]') when 'OBJECT' then [json_extract(s, '$.words')] else [] end as e from segments where json_type(s) = 'OBJECT'))
+"""
+
 SQL: dict[str, str] = {
+    "p6_found": f"""with {_NODES}
+select 'hypothesis' as child, record_id, cast(hyp_pos as int) as hyp_pos, -1 as pos_one, -1 as pos_two from hyps
+union all select 'logprob', record_id, cast(hyp_pos as int), cast(pos - 1 as int), -1 from (select record_id, hyp_pos, generate_subscripts(h.token_logprobs, 1) as pos from hyps)
+union all select 'word', record_id, cast(hyp_pos as int), cast(pos_one as int), cast(pos_two as int) from words""",
+    "p6_word_links": f"""with {_NODES}
+select record_id, cast(hyp_pos as int) as hyp_pos, count(*) as words, cast(sum(cast(round(cast(w ->> '$.p' as double) * 1000) as bigint)) as bigint) as thousandths from words group by all""",
     "normalize_text": f"select row_id, {norm('reference_raw')} as normalized from data_manifest",
     "token_counts": f"""select dataset, count(*) as rows, cast(sum(len({words('t')})) as bigint) as words, cast(sum(len({chars('t')})) as bigint) as characters
         from (select dataset, {norm('reference_raw')} as t from data_manifest where reference_raw is not null) group by 1""",
