@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from hypomill.llm import ranking
+from hypomill.llm import ranking, split_overlap
 from hypomill.llm.text_quality import COMMON_WORDS
+from hypomill.plans.sql import edits
 
 _LINES = r"""
 lines as (
@@ -80,7 +81,29 @@ from parts
 """
 
 
+# Every admitted pair of texts shares four words in a row: at most 15 % edits leave a stretch of four untouched.
+_NEAR = rf"""
+rows as (
+  select row_id, utt_id, dataset, split, coalesce(starts_with(lower(trim(split)), 'train'), false) as train,
+    array_to_string(regexp_extract_all(lower(reference_normalized), '[\p{{L}}\p{{N}}]+'), ' ') as t
+  from data_manifest),
+texts as (select t, bool_or(train) as has_train, bool_or(not train) as has_eval, string_split(t, ' ') as w from rows where len(string_split(t, ' ')) >= {split_overlap.MIN_WORDS} group by t),
+grams as (select distinct t, has_train, has_eval, array_to_string(w[i:i + 3], ' ') as g from (select *, unnest(range(1, len(w) - 2)) as i from texts)),
+candidates as (select distinct a.t as rf, b.t as hy from grams a join grams b using (g) where a.has_eval and b.has_train and a.t <> b.t),
+{edits('candidates')},
+near as (
+  select rf, hy from edits where (substitutions + deletions + insertions) * 100 <= {split_overlap.EDIT_PERCENT} * greatest(len(string_split(rf, ' ')), len(string_split(hy, ' ')))
+  union all select t, t from texts where has_train and has_eval),
+pairs as (
+  select distinct least(e.row_id, t.row_id) as row_a, greatest(e.row_id, t.row_id) as row_b from near join rows e on e.t = rf and not e.train join rows t on t.t = hy and t.train
+  union select least(e.row_id, t.row_id), greatest(e.row_id, t.row_id) from rows e join rows t using (utt_id) where not e.train and t.train)
+"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"with recursive {_NEAR} select row_a, row_b from pairs",
+    "p4_overlap_counts": f"""with recursive {_NEAR}
+select dataset, replace(lower(trim(split)), '_', '-') as split, count(*) as pairs, count(distinct row_id) as rows
+from (select unnest([row_a, row_b]) as row_id from pairs) join rows using (row_id) where not train group by all""",
     "p1_ranking": _ranking(),
     "p5_found": f"with {_LINES} select first_line_id, line_id from hashed where first_line_id < line_id",
     "p5_distinct_hypotheses": f"with {_LINES} select distinct first_line_id as line_id, copies from hashed",
