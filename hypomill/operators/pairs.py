@@ -12,6 +12,7 @@ from hypomill.errors import ContractError
 from hypomill.functions.jsoncanon import canonical_json
 from hypomill.functions.text import conservative_english
 from hypomill.operators.nbest import nbest_lists
+from hypomill.operators.ranges import row_numbers
 
 
 @dataclass(frozen=True)
@@ -107,14 +108,13 @@ def filter_by_error(scored: DataFrame, limit: float = 0.25) -> DataFrame:
 def combined_lists(records: DataFrame, per_system: int) -> DataFrame:
     """The lists of all systems of one utterance as one list: first candidates of each system first, then second ones.
 
-    Texts that normalise alike are kept once, at their best place. Each record of an
-    utterance contributes at most per_system candidates, and equal texts meet before the
-    shuffle of the survivors.
+    Texts that normalise alike are kept once, at their best place. Each record of an utterance
+    contributes at most per_system candidates. An open channel may hold any number of records
+    under one id, so the numbering works in ranges, not in one task per utterance.
     """
-    from pyspark.sql import Window
-
     rows = nbest_lists(records).where("utt_id is not null").select("utt_id", "system_id", "record_id", F.inline(F.slice("hypotheses", 1, per_system)))
     best = rows.withColumn("hyp", conservative_english(F.col("text_raw"))).groupBy("utt_id", "hyp").agg(
-        F.min_by(F.struct("rank", "system_id", "record_id"), F.struct("rank", "system_id", "record_id")).alias("b"), F.countDistinct("system_id").alias("systems"))
-    order = Window.partitionBy("utt_id").orderBy("b.rank", "b.system_id", "b.record_id", "hyp")
-    return best.select("utt_id", "hyp", "systems", F.col("b.rank").alias("best_rank"), F.row_number().over(order).alias("combined_rank"))
+        F.min(F.struct("rank", "system_id", "record_id")).alias("b"), F.countDistinct("system_id").alias("systems"))
+    flat = best.select("utt_id", "hyp", "systems", F.col("b.rank").alias("best_rank"), F.col("b.system_id").alias("s"), F.col("b.record_id").alias("r"))
+    numbered = row_numbers(flat, ["utt_id"], ["best_rank", "s", "r", "hyp"], "combined_rank")
+    return numbered.select("utt_id", "hyp", "systems", "best_rank", F.col("combined_rank").cast("int").alias("combined_rank"))
