@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,6 +222,79 @@ def left_over(reply: list[str], text: list[str]) -> tuple[int, int, bool]:
     return best
 
 
+#: Hash buckets of the terminal-context model's words and of its sources.
+BUCKETS = 4096
+#: A word that ends fewer of its occurrences than this does not end a text.
+RARE_END = 0.01
+#: Share of a source's replies with an end mark from which a missing one tells.
+SETS_MARKS = 0.5
+
+
+def _bucket(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) % BUCKETS
+
+
+class Endings:
+    """Terminal-context model: how often a word ends a text, and how often a source marks the end.
+
+    Counted over all replies; words and sources share hash buckets, so its size is fixed.
+    """
+
+    def __init__(self, seen: np.ndarray, ended: np.ndarray, replies: np.ndarray, marked: np.ndarray) -> None:
+        self.end_rate = (ended + 0.05) / (seen + 10.0)
+        self.mark_rate = (marked + 2.0) / (replies + 2.0)
+
+    def rarely_ends(self, word: str) -> bool:
+        return bool(self.end_rate[_bucket(word)] < RARE_END)
+
+    def sets_marks(self, source: str | None) -> bool:
+        return bool(self.mark_rate[_bucket(source or "")] >= SETS_MARKS)
+
+
+def fit_endings(replies: DataFrame) -> Endings:
+    """Count words, ends and marks of all replies. ``replies``: source, text.
+
+    Every task returns at most one row a bucket; what reaches the driver is 2 * BUCKETS rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((4, BUCKETS), np.int64)
+        known: dict[str, int] = {}
+        for batch in batches:
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                content, closed = unwrap(text)
+                words = plain(content)
+                if not words:
+                    continue
+                if len(known) > 200_000:
+                    known.clear()
+                for w in words:
+                    b = known.get(w)
+                    if b is None:
+                        b = known[w] = _bucket(w)
+                    table[0, b] += 1
+                marked = closed and _end_mark(content)
+                table[2, _bucket(source or "")] += 1
+                if marked:
+                    table[1, _bucket(words[-1])] += 1
+                    table[3, _bucket(source or "")] += 1
+        at = np.flatnonzero(table.any(0))
+        yield pa.record_batch([pa.array(at, pa.int32()), *(pa.array(row[at]) for row in table)], names=["b", "seen", "ended", "replies", "marked"])
+
+    names = ("seen", "ended", "replies", "marked")
+    counts = replies.where("text is not null").mapInArrow(run, "b int, seen long, ended long, replies long, marked long").groupBy("b").agg(*(F.sum(n).alias(n) for n in names))
+    table = np.zeros((4, BUCKETS))
+    for row in counts.collect():
+        table[:, row.b] = row[1:]
+    return Endings(*table)
+
+
+def _end_mark(content: str) -> bool:
+    """Whether a text ends in an end mark that is no ellipsis."""
+    shown = content.rstrip()
+    return shown.rstrip("\"'”»)*_`")[-1:] in (".", "!", "?", "…") and not shown.endswith("...")
+
+
 def _gives_back(words: list[str], request: Request) -> bool:
     """Whether a reply of the request's words is more than one candidate, or its instruction."""
     length = sum(map(len, request.candidates)) / len(request.candidates)
@@ -228,11 +302,11 @@ def _gives_back(words: list[str], request: Request) -> bool:
     return len(words) >= LIST_RATIO * length + 1 or (len(words) > 3 and explained(asked, " ".join(words)) >= INSTRUCTION_SHARE)
 
 
-def _stops_early(content: str, words: list[str], request: Request, own: float, at_limit: bool) -> bool:
-    """The terminal-context model: does the text go on where the reply ends?"""
-    end = content.rstrip().rstrip("\"'”»)*_`")[-1:]
-    if end in (".", "!", "?", "…") and not content.rstrip().endswith("..."):
+def _stops_early(content: str, words: list[str], request: Request, own: float, at_limit: bool, endings: Endings | None = None, source: str | None = None) -> bool:
+    """Does the text go on where the reply ends? By the request it answers, else by the terminal-context model."""
+    if _end_mark(content):
         return False
+    end = content.rstrip().rstrip("\"'”»)*_`")[-1:]
     if request.candidates and own >= OWN_WORDS and _gives_back(words, request):
         if any(words[-3:] == c[-3:] for c in request.candidates):
             return False
@@ -257,10 +331,12 @@ def _stops_early(content: str, words: list[str], request: Request, own: float, a
         return False
     # answers and summaries are sentences; one without its end goes on, unless its words end a sentence of the passage
     tail = words[-3:]
-    return not any(s[-3:] == tail for s in request.sentences)
+    if any(s[-3:] == tail for s in request.sentences):
+        return False
+    return endings is None or endings.sets_marks(source) or endings.rarely_ends(words[-1]) or at_limit
 
 
-def defect(messages: list[dict] | None, reply: str | None, output_tokens: int | None = None, most_tokens: int | None = None) -> str | None:
+def defect(messages: list[dict] | None, reply: str | None, output_tokens: int | None = None, most_tokens: int | None = None, endings: Endings | None = None, source: str | None = None) -> str | None:
     """The defect of one exchange's reply, or None. Where several apply, the first of: empty,
     copied, refusal, wrong_language, truncated."""
     if reply is None:
@@ -300,7 +376,7 @@ def defect(messages: list[dict] | None, reply: str | None, output_tokens: int |
     if not closed:
         return "truncated"
     at_limit = bool(output_tokens and most_tokens and output_tokens >= most_tokens)
-    return "truncated" if _stops_early(content, words, request, own, at_limit) else None
+    return "truncated" if _stops_early(content, words, request, own, at_limit, endings, source) else None
 
 
 def own_share(words: list[str], request: Request) -> float:
@@ -337,18 +413,20 @@ def judge(exchanges: DataFrame) -> DataFrame:
     Neither parser_status nor parsed_output is believed.
     """
 
+    endings = fit_endings(exchanges.select(F.col("model_id").alias("source"), F.col("raw_response").alias("text")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 columns = [c.to_pylist() for c in part.columns[1:]]
-                found = [defect(m, r, n, _most_tokens(p)) for m, r, n, p in zip(*columns)]
+                found = [defect(m, r, n, _most_tokens(p), endings, s) for m, r, n, p, s in zip(*columns)]
                 yield pa.record_batch([part.column(0), pa.array(found, pa.string())], names=["exchange_id", "defect"])
 
     light = exchanges.select(
         "exchange_id",
         F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
-        "raw_response", "output_tokens", "generation_parameters",
+        "raw_response", "output_tokens", "generation_parameters", "model_id",
     )
     return light.mapInArrow(run, "exchange_id long, defect string")
 

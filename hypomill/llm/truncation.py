@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypomill.llm.broken_pairs import Request, _choice, _lone_label, _most_tokens, _stops_early, left_over, own_share, plain, unwrap
+from hypomill.llm.broken_pairs import Endings, Request, _choice, _lone_label, _most_tokens, _stops_early, fit_endings, left_over, own_share, plain, unwrap
 from hypomill.runtime import bounded_broadcast
 
 #: Log-odds of a broken transfer before any evidence, and what each finding adds.
@@ -178,7 +178,7 @@ def ending_odds(text: str, references: list[str], flag: bool | None, limit: int
     return odds + (best or 0.0)
 
 
-def reply_odds(messages, reply: str, tokens: int | None, most_tokens: int | None, limit: int | None, limit_odds: float, log_ratio: float | None, log_ratio_sd: float | None) -> float:
+def reply_odds(messages, reply: str, tokens: int | None, most_tokens: int | None, limit: int | None, limit_odds: float, log_ratio: float | None, log_ratio_sd: float | None, endings: Endings | None = None, source: str | None = None) -> float:
     """Log-odds that a stored reply was cut."""
     content, closed = unwrap(reply)
     words = plain(content)
@@ -193,7 +193,7 @@ def reply_odds(messages, reply: str, tokens: int | None, most_tokens: int | None
         return odds + UNCLOSED
     request = Request(messages)
     own = own_share(words, request)
-    if _stops_early(content, words, request, own, at_tokens or at_limit):
+    if _stops_early(content, words, request, own, at_tokens or at_limit, endings, source):
         odds += EARLY
         if tokens and log_ratio is not None and len(reply) > 20 and (math.log(tokens / len(reply)) - log_ratio) / max(0.05, log_ratio_sd or 1) > 2.5:
             odds += SHORT_OF_TOKENS
@@ -236,16 +236,17 @@ def replies_judged(exchanges: DataFrame) -> DataFrame:
         "generation_parameters", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
     )
     fits = fit_sources(texts.select("source", "text", "tokens"))
+    endings = fit_endings(texts.select("source", "text"))
     joined = texts.join(fits, "source", "left").select("record_id", "source", "messages", "text", "tokens", "generation_parameters", "char_limit", "limit_odds", "log_ratio", "log_ratio_sd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                columns = [c.to_pylist() for c in part.columns[2:]]
+                columns = [c.to_pylist() for c in part.columns[1:]]
                 odds = [
-                    reply_odds(m, t, n, _most_tokens(g), limit, lo if lo is not None else TRANSFER_PRIOR, r, sd)
-                    for m, t, n, g, limit, lo, r, sd in zip(*columns)
+                    reply_odds(m, t, n, _most_tokens(g), limit, lo if lo is not None else TRANSFER_PRIOR, r, sd, endings, s)
+                    for s, m, t, n, g, limit, lo, r, sd in zip(*columns)
                 ]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(odds, pa.float64())], names=["record_id", "source", "odds"])
 

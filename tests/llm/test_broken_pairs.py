@@ -98,8 +98,21 @@ MESSAGES = "messages array<struct<role:string,content:string,extra:int>>"
 def test_table(spark):
     good = [("user", CORRECT + "\n\n" + CANDIDATES, 1)]
     rows = [(1, good, GOOD, 20, "{}", "c"), (2, None, None, None, None, "c"), (3, None, "some words", None, "no json", "c"), (4, [], "I'm sorry, I can't help with that.", 1, None, "c"), (5, [None, ("user", None, 1)], "fine words here.", 1, '{"max_tokens": "x"}', "c"), (6, good, GOOD * 3000, None, None, "c"), (7, good, None, 1, None, "c"), (7, good, None, 1, None, "c")]
-    df = spark.createDataFrame(rows, f"exchange_id bigint, {MESSAGES}, raw_response string, output_tokens bigint, generation_parameters string, defect string")
+    df = spark.createDataFrame([(*r, None if r[0] % 2 else "m") for r in rows], f"exchange_id bigint, {MESSAGES}, raw_response string, output_tokens bigint, generation_parameters string, defect string, model_id string")
     got = B.found(df)
     assert got.columns == ["exchange_id", "defect"]
     assert sorted((r.exchange_id, r.defect) for r in got.collect()) == [(2, "empty"), (4, "refusal"), (6, "copied"), (7, "empty"), (7, "empty")]
     assert B.found(df.where("false")).count() == 0
+
+
+def test_sources_without_end_marks(spark):
+    """A missing mark tells nothing of a source that never sets one; a word that never ends a text does."""
+    said = "people walked along the river while boats passed below the bridge".split()
+    texts = [("bare", " ".join(said[: 5 + k % 6])) for k in range(300)] + [("neat", " ".join(said[: 5 + k % 6]).capitalize() + ".") for k in range(300)]
+    texts = [(s, t) for s, t in texts if not t.rstrip(".").endswith("the")]
+    endings = B.fit_endings(spark.createDataFrame(texts, "source string, text string"))
+    assert endings.sets_marks("neat") and not endings.sets_marks("bare")
+    assert endings.rarely_ends("the") and not endings.rarely_ends("below")
+    assert B.defect(ask(SUMMARY, PASSAGE), "people walked along the river while boats", None, None, endings, "bare") is None
+    assert B.defect(ask(SUMMARY, PASSAGE), "people walked along the", None, None, endings, "bare") == "truncated"
+    assert B.defect(ask(SUMMARY, PASSAGE), "People walked along the river while boats", None, None, endings, "neat") == "truncated"
