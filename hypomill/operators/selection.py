@@ -75,6 +75,19 @@ def finite_scores(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_bad", F.max(bad).over(w)).where(~F.col("_bad")).drop("_bad")
 
 
+def standardized(rows: DataFrame, *columns: str) -> DataFrame:
+    """Scores shifted and scaled to mean 0 and deviation 1 within each list; a list of equal scores gets 0.
+
+    Rounded to 12 places, so the order of summation decides no comparison.
+    """
+    w = Window.partitionBy("record_id")
+    out = {}
+    for c in columns:
+        spread = F.stddev_pop(c).over(w)
+        out[c] = F.when(spread > 1e-12, F.round((F.col(c) - F.avg(c).over(w)) / spread, 12)).otherwise(F.lit(0.0))
+    return rows.withColumns(out)
+
+
 def weight_curve(rows: DataFrame, grid: list[float] = GRID) -> DataFrame:
     """Corpus error rate of constrained decoding at every weight of the grid. ``rows`` carry ``edits``.
 

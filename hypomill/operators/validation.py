@@ -56,6 +56,25 @@ def utterance_rules() -> dict[str, Column]:
     }
 
 
+def candidate_rules() -> dict[str, Column]:
+    """V14 of stored candidates: the flag in the open map tells whether token log-probabilities are there.
+
+    A candidate without the flag breaks nothing.
+    """
+    def flag_differs(h: Column) -> Column:
+        stated = F.get_json_object(h["metadata"], "$.token_logprobs_available")
+        has = F.coalesce(F.array_size(h["token_logprobs"]), F.lit(0)) > 0
+        return F.coalesce(F.when(stated == "true", ~has).when(stated == "false", has), F.lit(False))
+
+    return {"logprob_flag": F.coalesce(F.exists("asr.hypotheses", lambda h: F.when(h.isNull(), F.lit(False)).otherwise(flag_differs(h))), F.lit(False))}
+
+
+def short_lists(records: DataFrame, n: int) -> DataFrame:
+    """V15: (record_id, candidates) of records with fewer than n candidates, missing lists included."""
+    size = F.coalesce(F.array_size("asr.hypotheses"), F.lit(0))
+    return records.select("record_id", size.alias("candidates")).where(F.col("candidates") < n)
+
+
 def output_rules() -> dict[str, Column]:
     """V7 of a decoding result."""
     weight, latency, rank = F.col("lambda_value"), F.col("latency_ms"), F.col("selected_candidate_rank")

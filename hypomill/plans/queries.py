@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hypomill.functions.alignment import errors, word_edits, word_trace
 from hypomill.functions.jsoncanon import canonical_json_text
 from hypomill.functions.text import char_tokens, conservative_english, nfkc, word_tokens
-from hypomill.operators import diversity, flatten, metrics, nbest, pairs, scoring, selection, validation
+from hypomill.operators import diversity, flatten, metrics, nbest, pairs, requests, scoring, selection, validation, voting
 from hypomill.runtime import table
 from hypomill.sources import jsonl
 
@@ -233,6 +233,38 @@ def utterance_violations(spark: SparkSession, d: str) -> DataFrame:
     return validation.violation_counts(_records(spark, d), validation.utterance_rules())
 
 
+def candidate_violations(spark: SparkSession, d: str) -> DataFrame:
+    return validation.violation_counts(_records(spark, d), validation.candidate_rules())
+
+
+def short_lists(spark: SparkSession, d: str) -> DataFrame:
+    return validation.short_lists(_records(spark, d), N)
+
+
+def voted_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text that the candidates of each list vote for, word by word, with its edit counts."""
+    lists = nbest.nbest_lists(_records(spark, d)).select("record_id", "reference", F.transform(F.slice("hypotheses", 1, N), lambda h: conservative_english(h["text_raw"])).alias("texts"))
+    voted = lists.withColumn("voted", voting.vote(F.col("texts")))
+    return _flat_edits(voted.withColumn("edits", word_edits(conservative_english(F.col("reference")), F.col("voted"))), "record_id", "voted")
+
+
+def request_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Different requests by the hash of what was asked, with the exchanges that ask it."""
+    e = table(spark, d, "llm_exchanges")
+    return e.groupBy(requests.request_sha256(F.col("provider"), F.col("model_id"), F.col("messages"), F.col("generation_parameters")).alias("request")).agg(F.count(F.lit(1)).alias("exchanges"), F.min("exchange_id").alias("first_exchange"))
+
+
+def unanswered_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Exchanges whose request no exchange with a reply answers: what a cache would still have to ask."""
+    e = table(spark, d, "llm_exchanges").select("exchange_id", "request_hash", "raw_response")
+    return requests.not_cached(e.select("exchange_id", "request_hash"), e.where("raw_response is not null"), "request_hash")
+
+
+def normalized_curve(spark: SparkSession, d: str) -> DataFrame:
+    """The weight curve over scores standardised within each list."""
+    return selection.weight_curve(selection.standardized(_decodable(spark, d), "sequence_logscore", "ec_score"))
+
+
 def output_violations(spark: SparkSession, d: str) -> DataFrame:
     return validation.violation_counts(table(spark, d, "ec_outputs"), validation.output_rules())
 
@@ -321,7 +353,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         line_wer_by_rank, correction_diagnostics, werr_by_system, oracle_selection, oracle_by_n, average_unique, cross_wer, nbest_evaluation, prefix_counts,
         constrained_decode, lambda_curve, lambda_select, closest_projection, unconstrained_outputs, rank_by_length, rank_by_penalty, sequence_logprob,
         training_pairs, tagged_prompts, error_filter, length_ratio, combined_lists, win_loss, bootstrap_difference,
-        utterance_violations, output_violations, exchange_violations, manifest_violations, duplicate_ids, duplicate_audio, split_overlap, manifest_counts,
+        utterance_violations, candidate_violations, short_lists, voted_texts, request_hashes, unanswered_requests, normalized_curve, output_violations, exchange_violations, manifest_violations, duplicate_ids, duplicate_audio, split_overlap, manifest_counts,
         rank_contiguity, score_coverage, normalizer_consensus, requested_n, parse_lines, missing_utterances, exchange_messages, request_cache,
         p6_found, p6_word_links,
     )

@@ -110,6 +110,10 @@ def _serialized(separator: str, order: str) -> str:
     return f"with {_CAND} select record_id, string_agg(text_raw, ' {separator} ' order by {order}) as source_text from cand where rank <= {N} group by 1"
 
 
+def _standard(x: str) -> str:
+    return f"case when stddev_pop({x}) over (partition by record_id) > 1e-12 then round(({x} - avg({x}) over (partition by record_id)) / stddev_pop({x}) over (partition by record_id), 12) else 0.0 end"
+
+
 _NEG = "coalesce({} < 0, false)"
 _BOOT_U = "((('0x' || substr(md5('7:' || replicate || ':' || record_id), 1, 8))::bigint + 0.5) / 4294967296.0)"
 _FIRST_ORACLE = f"""{_ORACLE},
@@ -238,6 +242,14 @@ select *, errors_a / tokens - errors_b / tokens as difference from sums""",
         "score_type": _any(f"h.score_type not in {_in(SCORE_TYPES)}"),
         "source_system": "coalesce(list_bool_or(list_transform(asr.hypotheses, lambda h: coalesce(h.source_system_id <> asr.system_id, true))), false)",
     }),
+    "candidate_violations": _count_rules("utterance_records", {
+        "logprob_flag": """coalesce(list_bool_or(list_transform(asr.hypotheses, lambda h: coalesce(h is not null and case case when json_valid(h.metadata) then h.metadata ->> '$.token_logprobs_available' end
+            when 'true' then coalesce(len(h.token_logprobs), 0) = 0 when 'false' then coalesce(len(h.token_logprobs), 0) > 0 else false end, false))), false)""",
+    }),
+    "short_lists": f"select record_id, cast(coalesce(len(asr.hypotheses), 0) as int) as candidates from utterance_records where coalesce(len(asr.hypotheses), 0) < {N}",
+    "unanswered_requests": "select exchange_id, request_hash from llm_exchanges e where not exists (select 1 from llm_exchanges r where r.request_hash = e.request_hash and r.raw_response is not null)",
+    "normalized_curve": f"""with recursive {scored()}, {_DECODABLE.replace('rows as', 'plain_rows as')},
+rows as (select * exclude (logscore, ec_score), {_standard('logscore')} as logscore, {_standard('ec_score')} as ec_score from plain_rows), {_CURVE} {corpus('chosen', 'lmb')}""",
     "output_violations": _count_rules("ec_outputs", {
         "blank_id": _blank("utt_id", "ec_system_id", "decoding_strategy"),
         "text": "output_raw is null or output_normalized is null",
