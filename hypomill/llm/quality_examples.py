@@ -133,6 +133,11 @@ EXAMPLES = (
     ('prose', 'wrapped', 'The dreary violin claimed\nMaribrook around each earnest\ngarland, although the clumsy\nfarmhouse presented the hollow\npewter around Noraerick, since\nFenuulkin shyly packed eight shy\npendants outside her fence?'),
     ('prose', 'wrapped', 'Selianorhild buried that vast gravel among\nthe feather. The fragile drummer wisely\nplanted her violet cinder. Without warning\nsix solemn ridges hung Corewick toward each\ncareful phrase. That stout cliff hung the\nsunny queue. On monday our hollow shifted'),
     ('prose', 'wrapped', 'His tardy cable drained the apron of\nYarilan inside the wardrobe of Drouchakin!\nIbeijorzel fetched the keen potter, so\nFlaotorstad proudly hauled Venaerick\nbriefly. His jagged vowel lately shared\nZanuasel against their gazette. Their\npillar ordered our cobbler, because each'),
+    ('prose', 'spaced out', 'gloomy rivet swiftly rolled the thick sleigh below some tidy drawer.\nthe  heavy  baseline  sharply  carved  some  muddy  shed  until  the  waveform  circled  the  bronze  of  marolan  the  bitter  quarry  invented  that  tall  diary  around  the  feeble  staircase  after  the  rain  the '),
+    ('prose', 'spaced out', 'tightly. Lorucombe refused Baruasel past his quaint lexicon. Each quick pavement planted Fenithor below their syllable. lightly  shared  the  hidden  enguine  by  the  lonely  dagger!  At  noon  every er  clumsy  bench  studied  the  village,  when  the  grater  donkey  Kelehalsel  borrowed  the'),
+    ('prose', 'spaced out', 'Chaaewyn easily joined Brieistad across his early you know ladle. Last week Ibeiden sadly filtered every thorny anchor.\n\nWithout  warning  this  jolly  temple  Baruafax  tightly,  while  Seliaibmere  locked  her  wary  hedge um  beyond  some  lucid  cushion.  In  october  thlis  neat  balcony '),
+    ('prose', 'spaced out', 'since ninety bitter bridges opened this throne beneath a tender crater keleiibdor examined the merry satchel under pelahild The  Rabbit  Steadily  Recorded  Sixty  Northern  Bottles  Below  The  Spindle  Of  Joraekin.  This  Brittle  Horizon  Gathered  Twenty  Quiet  Orchards  Before  This '),
+    ('prose', 'spaced out', 'idle planks near the honey\nonce more the quick dial gradually weighed three gilded stables outside the pendant of chaerosden\nFrom  the  open  archive.  dtring  the  storm  the  ribbon  crossed  the  pebble  and  the  shutter  restored  his  fragile  warorobe  by  Halufax.  During  the  storm  his '),
     ('table', 'csv,', 'tokens,split,system,hours\nec-madder-constrained,130,4074,shutter\nuleibrook,9.53,23.18,torch\nec-sorrel-small,21.81,n/a,16.44\ngoreikin,3450,22.62,4.24\nseliobriban,24.76,6.55,29.95\nec-umber-fast,marble,apron,4.93\ncoristad,3892,15.61,9.22\nec-indigo-rerank,rivet,16.70,5'),
     ('table', 'csv,', 'system,errors,split,errors\nbriaenath,28.36,alignment,jewel\nchaeisel,,22.25,corpus\nec-madder-constrained,16.50,bridge,4046\nelugan,scholar,-,29.76\nibuwilpin,4488,23.84,reed\nec-sorrel-small,24.92,chain,4095\nec-umber-fast,11.61,3.68,\njorionath,3973,25.99,5.73'),
     ('table', 'csv,', 'split,lambda,errors,split\nec-sorrel-base,273,14,hostel\nec-sorrel-base,12.17,19.25,20.87\nfenaeden,522,1.76,6.32\nvenuarick,1925,4441,4158\nec-umber-fast,413,15.29,bronze\nec-sorrel-base,16.01,3274,\nyarabrook,14.76,5.53,18.51\nec-sorrel-small,20.06,16.19,n/a'),

@@ -126,6 +126,9 @@ _ROOTED = [STATISTICS.index(n) for n in (
 ITERATIONS = 8
 #: Least variance of a standardised statistic within a component.
 FLOOR = 0.05
+#: No component gets narrower than this share of the variance it began with: one text copied
+#: over and over must not make other prose improbable.
+LEAST_SPREAD = 0.5
 #: Standardised values are held within this distance of the mean.
 REACH = 6.0
 
@@ -205,7 +208,7 @@ def fit(features: DataFrame, iterations: int = ITERATIONS) -> tuple[Mixture, np.
     center = v[1 : d + 1] / v[0]
     scale = np.maximum(np.sqrt(np.maximum(v[d + 1 :] / v[0] - center**2, 0)), 1e-3)
     model, kinds = start(center, scale)
-    begun = model.mean.copy()
+    begun, least = model.mean.copy(), np.maximum(model.var * LEAST_SPREAD, FLOOR)
     for _ in range(iterations):
         now = model
         got = _sums(features, lambda x: _moments(now.responsibilities(now.standard(x)), now.standard(x)))
@@ -213,7 +216,7 @@ def fit(features: DataFrame, iterations: int = ITERATIONS) -> tuple[Mixture, np.
         n = sums[:, :1]
         # each component keeps a little of where its examples put it, so one that claims no text stays defined
         mean = (sums[:, 1 : d + 1] + 2 * begun) / (n + 2)
-        var = np.maximum((sums[:, d + 1 :] + 2 * begun**2 + 2 * 4 * FLOOR) / (n + 2) - mean**2, FLOOR)
+        var = np.maximum((sums[:, d + 1 :] + 2 * begun**2 + 2 * 4 * FLOOR) / (n + 2) - mean**2, least)
         weight = (n[:, 0] + 1) / (n.sum() + len(n))
         model = Mixture(center, scale, weight, mean, var)
     return model, component_kinds(model, kinds), sorted(set(kinds))
