@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hypomill.operators.nbest import zipped
+
 NODE_SCHEMA = (
     "child string, record_id long, hyp_pos int, pos_one int, pos_two int, "
     "pre long, post long, number double, content string"
@@ -156,13 +158,9 @@ def interval_nodes(records: DataFrame, values: bool = True) -> DataFrame:
     """
     hyps = F.col("asr.hypotheses")
     if values:
-        # an alias per field: extra fields of the record never reach Python
-        light = F.transform(hyps, lambda h: F.when(h.isNotNull(), F.struct(
-            h["rank"].cast("double").alias("rank"), h["text_raw"].alias("text_raw"),
-            h["token_logprobs"].alias("token_logprobs"), h["metadata"].alias("metadata"))))
+        light = zipped(hyps, "rank", "text_raw", "token_logprobs", "metadata")
     else:
-        light = F.transform(hyps, lambda h: F.when(h.isNotNull(), F.struct(
-            F.coalesce(F.array_size(h["token_logprobs"]), F.lit(0)).alias("n"), h["metadata"].alias("metadata"))))
+        light = F.zip_with(zipped(hyps, sizes=("token_logprobs",)), zipped(hyps, "metadata"), lambda a, b: F.struct(a["token_logprobs"].alias("n"), b["metadata"].alias("metadata")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,32 +12,41 @@ from hypomill.functions.text import conservative_english
 NO_RANK = 2_147_483_647
 
 
-def ordered_hypotheses(hypotheses: Column) -> Column:
+def zipped(hypotheses: Column, *fields: str, sizes: tuple[str, ...] = ()) -> Column:
+    """An array of structs with some of the hypotheses' fields; ``sizes`` are lengths of array fields.
+
+    Fields are taken one by one, so a Parquet scan reads only them and never the open maps
+    and token arrays beside them. A null element has only null fields.
+    """
+    parts = [hypotheses[f].alias(f) for f in fields] + [F.transform(hypotheses[f], lambda x: F.coalesce(F.array_size(x), F.lit(0))).alias(f) for f in sizes]
+    return F.arrays_zip(*parts)
+
+
+def ordered_hypotheses(hypotheses: Column, with_tokens: bool = False) -> Column:
     """A record's hypotheses in rank order (ties in stored order), without null elements and texts.
 
-    Stays an array: prefixes of it need no shuffle. ``rank`` counts 1..n anew.
+    Stays an array: prefixes of it need no shuffle. ``rank`` counts 1..n anew; ``tokens`` is the
+    number of token ids where asked for.
     """
-    kept = F.filter(hypotheses, lambda h: h.isNotNull() & h["text_raw"].isNotNull())
-    keyed = F.transform(kept, lambda h, i: F.struct(
-        F.coalesce(h["rank"], F.lit(NO_RANK)).alias("stored_rank"), i.alias("pos"), h["text_raw"].alias("text_raw"),
-        h["sequence_logscore"].alias("sequence_logscore"), F.coalesce(F.array_size(h["token_ids"]), F.lit(0)).alias("tokens"),
-        h["source_original_rank"].alias("source_original_rank")))
-    return F.transform(F.array_sort(keyed), lambda h, i: F.struct(
-        (i + 1).alias("rank"), h["text_raw"].alias("text_raw"), h["sequence_logscore"].alias("sequence_logscore"),
-        h["tokens"].alias("tokens"), h["stored_rank"].alias("stored_rank"), h["source_original_rank"].alias("source_original_rank")))
+    sizes = ("token_ids",) if with_tokens else ()
+    kept = F.filter(zipped(hypotheses, "rank", "text_raw", "sequence_logscore", sizes=sizes), lambda h: h["text_raw"].isNotNull())
+    fields = ["text_raw", "sequence_logscore", *sizes]
+    keyed = F.transform(kept, lambda h, i: F.struct(F.coalesce(h["rank"], F.lit(NO_RANK)).alias("stored_rank"), i.alias("pos"), *(h[f].alias(f) for f in fields)))
+    tokens = (lambda h: [h["token_ids"].alias("tokens")]) if with_tokens else (lambda h: [])
+    return F.transform(F.array_sort(keyed), lambda h, i: F.struct((i + 1).alias("rank"), h["text_raw"].alias("text_raw"), h["sequence_logscore"].alias("sequence_logscore"), *tokens(h)))
 
 
-def nbest_lists(records: DataFrame) -> DataFrame:
+def nbest_lists(records: DataFrame, with_tokens: bool = False) -> DataFrame:
     """(record_id, utt_id, dataset, split, system_id, reference, hypotheses): records with a reference and a candidate."""
     lists = records.where("reference.raw is not null").select(
         "record_id", "utt_id", "dataset", "split", F.col("asr.system_id").alias("system_id"), F.col("reference.raw").alias("reference"),
-        ordered_hypotheses(F.col("asr.hypotheses")).alias("hypotheses"))
+        ordered_hypotheses(F.col("asr.hypotheses"), with_tokens).alias("hypotheses"))
     return lists.where(F.size("hypotheses") > 0)
 
 
-def candidates(records: DataFrame) -> DataFrame:
+def candidates(records: DataFrame, with_tokens: bool = False) -> DataFrame:
     """One row per candidate of every list."""
-    return nbest_lists(records).select(
+    return nbest_lists(records, with_tokens).select(
         "record_id", "utt_id", "dataset", "split", "system_id", "reference", F.size("hypotheses").alias("n"), F.inline("hypotheses"))
 
 

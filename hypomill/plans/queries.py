@@ -162,7 +162,7 @@ def unconstrained_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _beams(spark: SparkSession, d: str) -> DataFrame:
-    return nbest.candidates(_records(spark, d)).select("record_id", F.col("rank").alias("original_index"), "tokens", F.col("sequence_logscore").alias("sum_logprob"))
+    return nbest.candidates(_records(spark, d), with_tokens=True).select("record_id", F.col("rank").alias("original_index"), "tokens", F.col("sequence_logscore").alias("sum_logprob"))
 
 
 def _ranked(spark: SparkSession, d: str, penalty: float | None) -> DataFrame:
