@@ -253,3 +253,69 @@ def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """p8_found: (doc_id, item_id)."""
     return spans(documents, items).select("doc_id", "item_id")
+
+
+#: Share of a document's words in passages from which the whole document goes.
+MOST_LEAKED = 0.5
+
+
+def word_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """``words_of`` a text with each word's place in it."""
+    low = text.lower()
+    if len(low) != len(text):  # a few letters grow when lowered; they stay as they are, so places hold
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = _mark.sub(lambda m: " " * len(m[0]), low)
+    found = [*_word.finditer(low)]
+    return [_spelled.get(m[0], m[0]) for m in found], [m.span() for m in found]
+
+
+def without_passages(text: str, automata_: list[SuffixAutomaton]) -> tuple[str, int, int]:
+    """A text without any passage of an item: (text, its words, words taken out).
+
+    Passages are taken out one after another until none is found, so a document may hold any
+    number of them. What stands between the taken words goes with them; the rest stays as it was.
+    """
+    words, places = word_places(text)
+    gone = [False] * len(words)
+    left = [w for w in words]
+    for automaton in automata_:
+        while True:
+            found = automaton.matches(left)
+            if not found:
+                break
+            for first, last in found.values():
+                for i in range(first, last + 1):
+                    gone[i], left[i] = True, "\x00"
+    kept, at, i = [], 0, 0
+    while i < len(words):
+        if gone[i]:
+            j = i
+            while j + 1 < len(words) and gone[j + 1]:
+                j += 1
+            kept.append(text[at : places[i][0]])
+            at = places[j][1]
+            i = j
+        i += 1
+    kept.append(text[at:])
+    return "".join(kept), len(words), sum(gone)
+
+
+def cleaned(documents: DataFrame, items: DataFrame, most: float = MOST_LEAKED) -> DataFrame:
+    """(doc_id, words, leaked_words, text) of every document; passages of items are taken out of the text.
+
+    Where more than ``most`` of the words are in passages the text is null. Null and empty
+    texts stay as they are.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(automata(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [without_passages(t, shared.value) if t else (t, 0, 0) for t in part.column(1).to_pylist()]
+                texts = [None if n and k > most * n else t for t, n, k in rows]
+                yield pa.record_batch(
+                    [part.column(0), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([k for _, _, k in rows], pa.int64()), pa.array(texts, pa.string())],
+                    names=["doc_id", "words", "leaked_words", "text"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, words long, leaked_words long, text string")

@@ -66,6 +66,10 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.spans(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return text_quality.found(table(spark, d, "documents"))
 
@@ -78,6 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_ranking, p2_found, p2_defect_counts, p3_found, p3_cut_rates, p4_found, p4_overlap_counts, p5_found,
-        p5_distinct_hypotheses, p7_packed, p8_found, p8_spans, p9_found, p9_statistics,
+        p5_distinct_hypotheses, p7_packed, p8_found, p8_spans, p8_cleaned, p9_found, p9_statistics,
     )
 }

@@ -95,3 +95,17 @@ def test_tables(spark):
         L.BLOCK_WORDS = old
     assert L.found(docs, items.where("false")).count() == 0
     assert L.found(docs.where("false"), items).count() == 0
+
+
+def test_cleaning_takes_out_every_passage_and_nothing_else(spark):
+    other = "Seven boats drifted past the silent harbour while nobody watched the tide come in. " * 3
+    text = f"{other}{PASSAGE}. {other}{PASSAGE.upper()}! İstanbul stays. {other}"
+    docs = spark.createDataFrame([(1, text), (2, PASSAGE), (3, None), (4, ""), (5, other)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, PASSAGE)], "item_id bigint, text string")
+    got = {r.doc_id: r for r in L.cleaned(docs, items).collect()}
+    assert got[1].text == f"{other}. {other}! İstanbul stays. {other}" and got[1].leaked_words == 32
+    assert got[2].text is None and got[2].leaked_words == got[2].words == 16
+    assert (got[3].text, got[4].text, got[5].text) == (None, "", other)
+    left = spark.createDataFrame([(r.doc_id, r.text) for r in got.values()], "doc_id bigint, text string")
+    assert L.found(left, items).count() == 0
+    assert {r.doc_id: r.text for r in L.cleaned(docs, items.where("false")).collect()} == {1: text, 2: PASSAGE, 3: None, 4: "", 5: other}
