@@ -136,8 +136,11 @@ class SuffixAutomaton:
                 found.append((at, s))
         return found
 
-    def matches(self, words: list[str]) -> dict[int, tuple[int, int]]:
-        """Item index to the (first, last) document word of a passage of it."""
+    def passages(self, words: list[str], whole: bool = True) -> dict[int, list[tuple[int, int]]]:
+        """Item index to the (first, last) document words of every passage of it, in order.
+
+        Where it only matters whether there is one, not ``whole`` gives some part of one that counts.
+        """
         ids = [*map(self.vocabulary.get, words)]
         at_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, state in self.seeds(ids):
@@ -145,49 +148,71 @@ class SuffixAutomaton:
                 at_item[k].append((end, at))
         found = {}
         for k, pairs in at_item.items():
-            span = leaked_run(self.sequences[k], ids, pairs)
-            if span:
-                found[k] = span
+            runs = leaked_runs(self.sequences[k], ids, pairs, whole)
+            if runs:
+                found[k] = runs
         return found
 
+    def matches(self, words: list[str]) -> dict[int, tuple[int, int]]:
+        """Item index to the (first, last) document word of the longest passage of it."""
+        return {k: max(runs, key=lambda r: r[1] - r[0]) for k, runs in self.passages(words).items()}
+
 
-def leaked_run(item: list[int], doc: list[int | None], seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """A document span holding a run of ``item``, given the ends of all exact SEED-word stretches.
+def leaked_runs(item: list[int], doc: list[int | None], seeds: list[tuple[int, int]], whole: bool = True) -> list[tuple[int, int]]:
+    """Document spans of all words in a run of ``item``, given the ends of all exact SEED-word stretches.
 
     Each exact stretch is widened on both sides with as few edits as possible. A run begins
     and ends with an agreeing word and has at least MIN_RUN item words for at most one edit
     in EVERY of them. A longer run always holds one of fewer than 2 * MIN_RUN words that
-    counts as well (one half of it has no more edits a word), so SIDE_EDITS are enough.
+    counts as well (one half of it has no more edits a word), so SIDE_EDITS are enough to tell
+    whether a stretch counts. One that does is then widened with as many edits as the whole
+    item may have, as far to the left and as far to the right as a run through it goes.
+    Overlapping spans are one. Not ``whole``: the first stretch that counts, as far as SIDE_EDITS go.
     """
     seen = set(seeds)
+    stretches = []
     for end, at in seeds:
         if (end - 1, at - 1) in seen:
             continue
-        run = SEED  # the exact stretch that begins here
-        first, first_at = end - SEED + 1, at - SEED + 1
+        first, first_at, run = end - SEED + 1, at - SEED + 1, SEED  # the exact stretch that begins here
         while (end + 1, at + 1) in seen:
             end, at, run = end + 1, at + 1, run + 1
-        if run >= MIN_RUN:
-            return first_at, at
-        right = _widen(item, doc, end + 1, at + 1, 1)
-        left = _widen(item, doc, first - 1, first_at - 1, -1)
-        for x, (n_left, d_left) in enumerate(left):
-            for y, (n_right, d_right) in enumerate(right):
-                size = run + n_left + n_right
-                if size >= MIN_RUN and (x + y) * EVERY <= size:
-                    return first_at - d_left, at + d_right
-    return None
+        stretches.append((run, first, first_at))
+    found: list[tuple[int, int]] = []
+    most = len(item) // EVERY
+    for run, first, first_at in sorted(stretches, reverse=True):
+        end, at = first + run, first_at + run
+        low, high = max(0, first_at - first - most), min(len(doc), at + len(item) - end + most) - 1
+        if any(a <= low and high <= b for a, b in found):  # no run through it reaches a new word
+            continue
+        for edits in (SIDE_EDITS, most) if whole else (SIDE_EDITS,):
+            left = _widen(item, doc, first - 1, first_at - 1, -1, edits)
+            right = _widen(item, doc, end, at, 1, edits)
+            admitted = [
+                (d_left, d_right) for x, (n_left, d_left) in enumerate(left) for y, (n_right, d_right) in enumerate(right)
+                if (size := run + n_left + n_right) >= MIN_RUN and (x + y) * EVERY <= size
+            ]
+            if not admitted:
+                break
+        else:
+            a, b = first_at - max(d for d, _ in admitted), at - 1 + max(d for _, d in admitted)
+            if not whole:
+                return [(a, b)]
+            apart = [r for r in found if r[1] < a or b < r[0]]
+            joined = [r for r in found if not (r[1] < a or b < r[0])] + [(a, b)]
+            found = [*apart, (min(r[0] for r in joined), max(r[1] for r in joined))]
+    return sorted(found)
 
 
 SIDE_EDITS = 4
 
 
-def _widen(item: list[int], doc: list[int | None], i: int, d: int, way: int) -> list[tuple[int, int]]:
-    """For 0, 1, ... edits: the most (item words, document words) agreed on beyond (i, d)."""
+def _widen(item: list[int], doc: list[int | None], i: int, d: int, way: int, most_edits: int) -> list[tuple[int, int]]:
+    """For 0, 1, ... edits: the most (item words, document words) agreed on beyond (i, d); it ends where no word of the item is left."""
     n, m = (len(item) - i, len(doc) - d) if way > 0 else (i + 1, d + 1)
     best, reached = [], {0: 0}  # item words passed, by document words ahead of item words
     most = (0, 0)
-    for edits in range(SIDE_EDITS + 1):
+    for edits in range(most_edits + 1):
         if edits:
             to: dict[int, int] = {}
             for ahead, x in reached.items():
@@ -203,6 +228,8 @@ def _widen(item: list[int], doc: list[int | None], i: int, d: int, way: int) ->
             if y > x and y > most[0]:
                 most = (y, y + ahead)
         best.append(most)
+        if most[0] == n:
+            break
     return best
 
 
@@ -221,12 +248,8 @@ def automata(items: DataFrame) -> list[SuffixAutomaton]:
     return [SuffixAutomaton(b) for b in [*blocks, *([block] if block else [])]]
 
 
-def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word) of every document that holds a passage of an item.
-
-    Null and empty texts and items of fewer than MIN_RUN words match nothing; a repeated
-    document counts under each doc_id. One row per document and item.
-    """
+def _scanned(documents: DataFrame, items: DataFrame, whole: bool) -> DataFrame:
+    """(doc_id, item_id, first_word, last_word): every passage, or a part of one passage of each item."""
     spark = documents.sparkSession
     result = None
     for automaton in automata(items) or [SuffixAutomaton([])]:
@@ -240,9 +263,10 @@ def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
                     part = batch.slice(at, 500)
                     for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                         if text:
-                            for k, (a, b) in own.matches(words_of(text)).items():
-                                for column, v in zip(out, (doc, own.ids[k], a, b)):
-                                    column.append(v)
+                            for k, runs in own.passages(words_of(text), whole).items():
+                                for a, b in runs:
+                                    for column, v in zip(out, (doc, own.ids[k], a, b)):
+                                        column.append(v)
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["doc_id", "item_id", "first_word", "last_word"])
 
         part = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, first_word long, last_word long")
@@ -250,9 +274,19 @@ def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     return result
 
 
+def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, first_word, last_word) of every passage of an item in a document, whole.
+
+    Null and empty texts and items of fewer than MIN_RUN words match nothing; a repeated
+    document counts under each doc_id. One row per document, item and passage; passages of one
+    item that overlap are one row.
+    """
+    return _scanned(documents, items, True)
+
+
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """p8_found: (doc_id, item_id)."""
-    return spans(documents, items).select("doc_id", "item_id")
+    """p8_found: (doc_id, item_id); one row per document and item, however many passages it holds."""
+    return _scanned(documents, items, False).select("doc_id", "item_id")
 
 
 #: Share of a document's words in passages from which the whole document goes.
@@ -272,7 +306,7 @@ def word_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 def without_passages(text: str, automata_: list[SuffixAutomaton]) -> tuple[str, int, int]:
     """A text without any passage of an item: (text, its words, words taken out).
 
-    Passages are taken out one after another until none is found, so a document may hold any
+    Passages are taken out whole, until none is found, so a document may hold any
     number of them. What stands between the taken words goes with them; the rest stays as it was.
     """
     words, places = word_places(text)
@@ -280,12 +314,13 @@ def without_passages(text: str, automata_: list[SuffixAutomaton]) -> tuple[str,
     left = [w for w in words]
     for automaton in automata_:
         while True:
-            found = automaton.matches(left)
+            found = automaton.passages(left)
             if not found:
                 break
-            for first, last in found.values():
-                for i in range(first, last + 1):
-                    gone[i], left[i] = True, "\x00"
+            for runs in found.values():
+                for first, last in runs:
+                    for i in range(first, last + 1):
+                        gone[i], left[i] = True, "\x00"
     kept, at, i = [], 0, 0
     while i < len(words):
         if gone[i]:

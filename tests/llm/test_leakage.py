@@ -109,3 +109,59 @@ def test_cleaning_takes_out_every_passage_and_nothing_else(spark):
     left = spark.createDataFrame([(r.doc_id, r.text) for r in got.values()], "doc_id bigint, text string")
     assert L.found(left, items).count() == 0
     assert {r.doc_id: r.text for r in L.cleaned(docs, items.where("false")).collect()} == {1: text, 2: PASSAGE, 3: None, 4: "", 5: other}
+
+
+def every_run(item, doc):
+    """Document words that lie in any admitted run (brute force over alignments that begin and end with an agreeing word)."""
+    covered = set()
+    for a in range(len(item)):
+        for p in range(len(doc)):
+            if item[a] != doc[p]:
+                continue
+            last = {0: 0}  # row of one item word: edits by document words after p
+            for j in range(1, len(doc) - p):
+                last[j] = j
+            for i in range(1, len(item) - a):
+                row = {0: i}
+                for j in range(1, len(doc) - p):
+                    same = item[a + i] == doc[p + j]
+                    row[j] = min(last[j - 1] + (not same), last[j] + 1, row[j - 1] + 1)
+                    if same and i + 1 >= 12 and last[j - 1] * 6 <= i + 1:
+                        covered.update(range(p, p + j + 1))
+                last = row
+    return covered
+
+
+def test_passages_are_whole():
+    words = [f"p{k}x" for k in range(36)]
+    automaton = L.SuffixAutomaton([(1, words[:24])])
+    doc = ["before", *words[:12], "altered", *words[13:24], "after"]
+    assert automaton.passages(doc) == {0: [(1, 24)]}
+    assert L.without_passages(" ".join(doc), [automaton]) == ("before  after", 26, 24)
+    often = [w if k % 7 != 6 else "altered" for k, w in enumerate(words)]  # 5 edits in 36
+    automaton = L.SuffixAutomaton([(1, words)])
+    assert automaton.passages(["x", *often, "y"]) == {0: [(1, 36)]}
+    assert L.without_passages(" ".join(["x", *often, "y"]), [automaton]) == ("x  y", 38, 36)
+
+
+def test_passages_are_all_words_of_admitted_runs():
+    rng = random.Random(12)
+    hits = 0
+    for _ in range(40):
+        item = [f"q{k}x" for k in range(rng.randint(14, 40))]
+        part = item[rng.randint(0, 3) :]
+        for _ in range(rng.randint(0, len(part) // 5)):
+            p = rng.randrange(1, len(part) - 1)
+            part[p : p + 1] = rng.choice([[], ["z"], [part[p], "z"]])
+        doc = ["b"] * 3 + part + ["e"] * 3
+        got = {i for a, b in L.SuffixAutomaton([(0, item)]).passages(doc).get(0, []) for i in range(a, b + 1)}
+        hits += bool(got)
+        assert got == every_run(item, doc)
+    assert hits > 25
+
+
+def test_every_passage_has_a_row(spark):
+    docs = spark.createDataFrame([(1, f"{PASSAGE}. " + "And then nothing at all came of it. " * 2 + PASSAGE)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, PASSAGE)], "item_id bigint, text string")
+    assert sorted((r.first_word, r.last_word) for r in L.spans(docs, items).collect()) == [(0, 15), (32, 47)]
+    assert L.found(docs, items).count() == 1
