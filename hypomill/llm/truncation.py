@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hypomill.llm.broken_pairs import Endings, Request, _choice, _lone_label, _most_tokens, _stops_early, fit_endings, left_over, own_share, plain, unwrap
-from hypomill.runtime import bounded_broadcast
+from hypomill.runtime import bounded_broadcast, materialize
 
 #: Log-odds of a broken transfer before any evidence, and what each finding adds.
 TRANSFER_PRIOR = -3.5
@@ -138,8 +138,17 @@ def fit_sources(texts: DataFrame) -> DataFrame:
     return bounded_broadcast(counts.groupBy("source").applyInPandas(_fit_source, _FIT), "p3-fits")
 
 
-def ending_odds(text: str, references: list[str], flag: bool | None, limit: int | None, limit_odds: float, mark_share: float) -> float:
-    """Log-odds that a recognised text was cut."""
+def ending_odds(text: str, references: list[str], flag: bool | None, limit: int | None, limit_odds: float, mark_share: float, least: float | None = None) -> float:
+    """Log-odds that a recognised text was cut; ``least`` is the evidence of references judged elsewhere."""
+    odds, shown, at_limit = own_odds(text, flag, limit, limit_odds, mark_share)
+    if shown is None:
+        return odds
+    found = [e for e in (least, *(reference_evidence(shown, r, at_limit) for r in references)) if e is not None]
+    return odds + min(found, default=0.0)
+
+
+def own_odds(text: str, flag: bool | None, limit: int | None, limit_odds: float, mark_share: float) -> tuple[float, str | None, bool]:
+    """Log-odds from the text alone, its shown part (None: references say nothing more) and whether it reaches the limit."""
     at_limit = limit is not None and len(text) >= limit
     odds = max(TRANSFER_PRIOR, limit_odds) if at_limit else TRANSFER_PRIOR
     odds += FLAG[flag]
@@ -149,7 +158,7 @@ def ending_odds(text: str, references: list[str], flag: bool | None, limit: int
         shown = shown.rstrip(".…")
         dots = False
     elif dots or shown.endswith(("-", "–", "—")):
-        return odds + TRAILING_OFF
+        return odds + TRAILING_OFF, None, at_limit
     marked = shown[-1:] in (".", "!", "?") and not (at_limit and text.rstrip() != shown)
     if marked:
         odds += END_MARK
@@ -157,25 +166,25 @@ def ending_odds(text: str, references: list[str], flag: bool | None, limit: int
         odds += NO_MARK * mark_share * mark_share
         if text != shown and text[-1:].isspace():
             odds += HANGING_BLANK
-    words = plain(shown)
-    best = None
-    for reference in references:
-        full = plain(reference)
-        if not full or not words:
-            continue
-        if words[-1] == full[-1] and (len(full) < 2 or len(words) < 2 or words[-2] == full[-2] or len(words) >= len(full) - 2):
-            best = SAME_END
-            break
-        _, left, cut = left_over(words, full)
-        e = LEFT_OVER[min(left, 6)]
-        if cut:
-            # the first letters of the very word that follows: by chance only where the word may just be misheard
-            missing = len(full[len(full) - left - 1]) - len(words[-1])
-            e = max(e, 0.0) + CUT_WORD if left or missing > 2 or at_limit else e + 1.0
-        if len(words[-1]) <= 2 and not cut and words[-1].isalpha() and words[-1] not in SHORT_WORDS and words[-1] not in full:
-            e += FRAGMENT
-        best = e if best is None else min(best, e)
-    return odds + (best or 0.0)
+    return odds, shown, at_limit
+
+
+def reference_evidence(shown: str, reference: str, at_limit: bool) -> float | None:
+    """What one reference adds; None where it or the text has no words. The least of all references counts, and SAME_END is the least there is."""
+    words, full = plain(shown), plain(reference)
+    if not full or not words:
+        return None
+    if words[-1] == full[-1] and (len(full) < 2 or len(words) < 2 or words[-2] == full[-2] or len(words) >= len(full) - 2):
+        return SAME_END
+    _, left, cut = left_over(words, full)
+    e = LEFT_OVER[min(left, 6)]
+    if cut:
+        # the first letters of the very word that follows: by chance only where the word may just be misheard
+        missing = len(full[len(full) - left - 1]) - len(words[-1])
+        e = max(e, 0.0) + CUT_WORD if left or missing > 2 or at_limit else e + 1.0
+    if len(words[-1]) <= 2 and not cut and words[-1].isalpha() and words[-1] not in SHORT_WORDS and words[-1] not in full:
+        e += FRAGMENT
+    return e
 
 
 def reply_odds(messages, reply: str, tokens: int | None, most_tokens: int | None, limit: int | None, limit_odds: float, log_ratio: float | None, log_ratio_sd: float | None, endings: Endings | None = None, source: str | None = None) -> float:
@@ -202,27 +211,60 @@ def reply_odds(messages, reply: str, tokens: int | None, most_tokens: int | None
     return odds
 
 
+def _at_limit() -> Column:
+    return F.coalesce(F.length("text") >= F.col("char_limit"), F.lit(False))
+
+
+def middle_evidence(texts: DataFrame, fits: DataFrame, references: DataFrame) -> DataFrame:
+    """(utt_id, digest, at_limit, least): the least evidence of all ``references`` (utt_id, r) of a text's id.
+
+    Distinct texts meet the references, so rows of one text are one here; the joins can be
+    split where an id is hot.
+    """
+    references = bounded_broadcast(references, "p3-middle")
+    different = (
+        texts.join(references.select("utt_id").distinct(), "utt_id", "left_semi").join(fits, "source", "left")
+        .select("utt_id", "text", _at_limit().alias("at_limit")).distinct()
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for text, at_limit, r in zip(*[c.to_pylist() for c in batch.columns[2:]]):
+                shown = own_odds(text, None, 0 if at_limit else None, 0.0, 0.0)[1]
+                least.append(None if shown is None else reference_evidence(shown, r, at_limit))
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(least, pa.float64())], names=["utt_id", "digest", "at_limit", "least"])
+
+    each = (
+        different.join(references, "utt_id").select("utt_id", F.sha2("text", 256).alias("digest"), "text", "at_limit", "r")
+        .mapInArrow(run, "utt_id string, digest string, at_limit boolean, least double")
+    )
+    return bounded_broadcast(each.groupBy("utt_id", "digest", "at_limit").agg(F.min("least").alias("least")), "p3-evidence")
+
+
 def outputs_judged(outputs: DataFrame, manifest: DataFrame) -> DataFrame:
     """(record_id, source, odds) of every recognised text."""
     texts = outputs.select(F.col("output_id").alias("record_id"), "utt_id", F.col("ec_system_id").alias("source"), F.col("output_raw").alias("text"), "truncated").where("text is not null and length(text) > 0")
     fits = fit_sources(texts.select("source", "text", F.lit(None).cast("long").alias("tokens")))
-    # an id that is used more than once has more than one reference; the two outermost stand for them
-    reference = (
-        manifest.where("utt_id is not null").select("utt_id", F.coalesce("reference_raw", "reference_normalized").alias("r"))
-        .where("r is not null").groupBy("utt_id").agg(F.min("r").alias("r1"), F.max("r").alias("r2"))
-    )
+    # an id that is used more than once has more than one reference: the two outermost go with the row, any others are judged apart
+    pairs = materialize(
+        manifest.where("utt_id is not null").select("utt_id", F.coalesce("reference_raw", "reference_normalized").alias("r")).where("r is not null").distinct(), "p3-references")
+    reference = pairs.groupBy("utt_id").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count(F.lit(1)).alias("references"))
+    evidence = middle_evidence(texts, fits, pairs.join(reference.where("references > 2"), "utt_id").where("r <> r1 and r <> r2").select("utt_id", "r"))
+    digest = F.when(F.col("references") > 2, F.sha2("text", 256))
     share = F.when(F.col("style") == "upper", F.col("mark_upper")).when(F.col("style") == "title", F.col("mark_title")).otherwise(F.col("mark_lower"))
     joined = (
         texts.withColumn("style", style(F.col("text"))).join(reference, "utt_id", "left").join(fits, "source", "left")
-        .select("record_id", "source", "text", "truncated", "r1", "r2", "char_limit", "limit_odds", F.coalesce(share, F.lit(0.5)).alias("share"))
+        .withColumns({"digest": digest, "at_limit": _at_limit()}).join(evidence, ["utt_id", "digest", "at_limit"], "left")
+        .select("record_id", "source", "text", "truncated", "r1", "r2", "char_limit", "limit_odds", F.coalesce(share, F.lit(0.5)).alias("share"), "least")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[2:]]
             odds = [
-                ending_odds(t, [r for r in dict.fromkeys((r1, r2)) if r], flag, limit, limit_odds if limit_odds is not None else TRANSFER_PRIOR, share)
-                for t, flag, r1, r2, limit, limit_odds, share in zip(*columns)
+                ending_odds(t, [r for r in dict.fromkeys((r1, r2)) if r], flag, limit, limit_odds if limit_odds is not None else TRANSFER_PRIOR, share, least)
+                for t, flag, r1, r2, limit, limit_odds, share, least in zip(*columns)
             ]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(odds, pa.float64())], names=["record_id", "source", "odds"])
 

@@ -78,3 +78,17 @@ def test_limit_of_a_source(spark):
     o, e, m = tables(spark, rows, manifest=refs)
     got = {r.record_id for r in P.found(o, e, m).collect()}
     assert len(got ^ cut) <= 0.02 * len(cut) and len(cut) > 50
+
+
+def test_every_reference_of_an_id_counts(spark):
+    middle = ["Many boats drifted past the quiet harbour on the", "Never did she ask him where the letters had gone to and", "Over the hill came a long row of carts with no"]
+    refs = ["A short note about nothing at all was read to them by the old clerk this morning.", *[f"{m} evening of that day in May." for m in middle], "Zebras rarely cross the wide road at noon in summer when the heat is at its worst."]
+    outputs = [(k, "u", "s", m + " evening of that day in Ma", None, "c", "c") for k, m in enumerate(middle)] + [(9, "u", "s", middle[1], True, "c", "c"), (9, "u", "s", middle[1], True, "c", "c")]
+    whole = [(20 + k, "u", "s", refs[k + 1].rstrip("."), True, "c", "c") for k in range(3)]
+    o, e, m = tables(spark, outputs + whole, manifest=[("u", r, None) for r in refs * 2])
+    got = {(r.record_id, round(r.odds, 9)) for r in P.outputs_judged(o, m).collect()}
+    fit = {r.source: r for r in P.fit_sources(o.selectExpr("ec_system_id as source", "output_raw as text", "cast(null as long) as tokens")).collect()}["s"]
+    want = {(k, round(P.ending_odds(t, refs, flag, fit.char_limit, fit.limit_odds, fit.mark_title), 9)) for k, _, _, t, flag, _, _ in outputs + whole}
+    assert got == want
+    assert P.outputs_judged(o, m).count() == len(outputs + whole)
+    assert all(P.ending_odds(t, [refs[0], refs[-1]], f, fit.char_limit, fit.limit_odds, fit.mark_title) > P.ending_odds(t, refs, f, fit.char_limit, fit.limit_odds, fit.mark_title) for _, _, _, t, f, _, _ in whole)
