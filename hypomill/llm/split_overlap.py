@@ -1,8 +1,8 @@
 """Problem 4: the same or nearly the same record on both sides of the training split.
 
 Distinct normalised texts become classes; minwise hashes of each class's word-pair shingles
-are banded into buckets; only buckets that an evaluation and a training class share give a
-candidate. Each candidate is verified by the exact Jaccard similarity of the shingle sets
+(a repeated pair is numbered, so they are a multiset) are banded into buckets; only buckets
+that an evaluation and a training class share give a candidate. Each candidate is verified by the exact Jaccard similarity of the shingles
 (a bound that follows from the allowed edits) and then by the exact edit distance in words.
 Word pairs are the shingle because the shortest admitted texts have 8 words: five-word
 shingles would leave nothing in common after one edit. Class pairs are expanded to rows at
@@ -12,6 +12,7 @@ the end, because the result is defined on rows.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ def edits_allowed(a: int, b: int) -> int:
 
 
 def band_keys(texts: list[str]) -> np.ndarray:
-    """BANDS bucket keys per text, from minwise hashes of its word pairs."""
+    """BANDS bucket keys per text, from minwise hashes of its word pairs, repeated ones numbered."""
     hashes: list[np.ndarray] = []
     starts, at, known = [], 0, {}
     for text in texts:
@@ -66,6 +67,13 @@ def band_keys(texts: list[str]) -> np.ndarray:
         hashes.append(pair)
     x = np.concatenate(hashes)
     x ^= x >> np.uint64(31)
+    # the k-th occurrence of a pair in a text is a shingle of its own
+    owner = np.repeat(np.arange(len(texts)), np.diff([*starts, at]))
+    order = np.lexsort((x, owner))
+    new = np.ones(at, bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (owner[1:] != owner[:-1])  # owner is in order already
+    place = np.arange(at)
+    x[order] += (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * _MIX2
     keys = np.empty((len(texts), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(texts), _BAND_SALT[band], np.uint64)
@@ -137,16 +145,15 @@ def within_edits(a: list[str], b: list[str], most: int) -> bool:
 
 
 def verified(a: str, b: str) -> bool:
-    """Exact Jaccard of the word pairs against the least value the allowed edits leave, then exact edits."""
+    """Exact Jaccard of the numbered word pairs against the least value the allowed edits leave, then exact edits."""
     x, y = a.split(" "), b.split(" ")
     most = edits_allowed(len(x), len(y))
-    s, t = set(zip(x, x[1:])), set(zip(y, y[1:]))
-    common = len(s & t)
-    # each edit ends at most two word pairs of the longer text; a repeated pair counts once in the set
-    longer, times = (s, len(x) - 1) if len(x) >= len(y) else (t, len(y) - 1)
-    least = len(longer) - 2 * most
-    jaccard = common / max(1, len(s) + len(t) - common)
-    if least > 0 and jaccard < least / (len(s) + len(t) - least if len(s) + len(t) > least else 1):
+    s, t = Counter(zip(x, x[1:])), Counter(zip(y, y[1:]))
+    n, m = len(x) - 1, len(y) - 1
+    common = sum(min(k, t[p]) for p, k in s.items() if p in t)
+    # each edit ends at most two word pairs of the longer text
+    least = max(n, m) - 2 * most
+    if least > 0 and common * max(1, n + m - least) < least * (n + m - common):
         return False
     return within_edits(x, y, most)
 

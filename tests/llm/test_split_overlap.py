@@ -86,3 +86,14 @@ def test_row_form_of_the_band_equals_cells():
             assert rows == S.within_edits(a, b, k) == (distance(a, b) <= k)
     finally:
         S._CELLS = small
+
+
+def test_repeated_words(spark):
+    rows = []
+    for k in range(40):
+        text = [f"no{k}"] * 20
+        rows.append((None, "train", " ".join(text)))
+        text[4], text[9], text[14] = f"a{k}", f"b{k}", f"c{k}"
+        rows.append((None, "dev", " ".join(text)))
+    got = {(r.row_a, r.row_b) for r in S.overlaps(manifest(spark, rows)).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(40)} and len(got) >= 38
