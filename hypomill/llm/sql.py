@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hypomill.llm import ranking, split_overlap
+from hypomill.llm import split_overlap
 from hypomill.llm.text_quality import COMMON_WORDS
 from hypomill.plans.sql import edits
 
@@ -16,45 +16,28 @@ hashed as (
   from lines where u is not null or r is not null or t is not null)
 """
 
-_SENTINELS = ", ".join(str(s) for s in ranking.SENTINELS)
-
-
-def _ranking() -> str:
-    each = " union all ".join(
-        f"select output_id as id, coalesce(ec_system_id, '') as g, {k} as s, case when {c} is not null and not isnan({c}) and not isinf({c}) and {c} not in ({_SENTINELS}) then {c} end as v from ec_outputs"
-        for k, c in enumerate(ranking.SCORES)
-    )
-    G, P = ranking.GRID, ranking.FULL
-    return f"""
-with long as ({each}),
-spans as (select g, s, quantile_disc(v, 0.5) as m, greatest(quantile_disc(v, 0.9) - quantile_disc(v, 0.1), 1e-9) as w from long where v is not null group by all),
-valid as (select id, l.g, l.s, v from long l join spans using (g, s) where v is not null and abs(v - m) <= {ranking.ABSURD} * w),
-points as (
-  select g, s, v, n, cast(((2 * upto - n) * {G}) // (2 * total) as bigint) as x from (
-    select g, s, v, n, sum(n) over (partition by g, s order by v) as upto, sum(n) over (partition by g, s) as total
-    from (select g, s, v, count(*) as n from valid group by all))),
-grid as (select s, x, sum(n) as n from points group by all),
-sums as (
-  select s, x, n, sum(n) over (partition by s) as total,
-    coalesce(sum(n) over (partition by s order by x range between unbounded preceding and {P} preceding), 0) as c0,
-    coalesce(sum(n * x) over (partition by s order by x range between unbounded preceding and {P} preceding), 0) as s0,
-    coalesce(sum(n) over (partition by s order by x range between unbounded preceding and 1 preceding), 0) as c1,
-    coalesce(sum(n * x) over (partition by s order by x range between unbounded preceding and 1 preceding), 0) as s1,
-    coalesce(sum(n) over (partition by s order by x range between unbounded preceding and current row), 0) as c2,
-    coalesce(sum(n * x) over (partition by s order by x range between unbounded preceding and current row), 0) as s2,
-    coalesce(sum(n) over (partition by s order by x range between unbounded preceding and {P - 1} following), 0) as c3,
-    coalesce(sum(n * x) over (partition by s order by x range between unbounded preceding and {P - 1} following), 0) as s3
-  from grid),
+# All pairs of outputs are compared, score by score, so the sums of the operator meet none of its own steps here.
+_RANKING = """
+with long as (
+  select output_id as id, coalesce(ec_system_id, '') as g, unnest(['ec', 'asr', 'combined']) as s,
+    unnest([ec_sequence_score, asr_sequence_score, combined_score]) as v from ec_outputs),
+finite as (select * from long where v is not null and not isnan(v) and not isinf(v) and abs(v) not in (9999, 99999)),
+ranked as (select g, s, v, count(*) over (partition by g, s order by v) as upto, count(*) over (partition by g, s) as size from finite),
+quantiles as (
+  select g, s, min(v) filter (upto * 10 >= size) as q1, min(v) filter (upto * 2 >= size) as q5, min(v) filter (upto * 10 >= size * 9) as q9
+  from ranked group by g, s),
+valid as (select f.* from finite f join quantiles q using (g, s) where abs(v - q5) <= 200 * greatest(q9 - q1, 1e-9)),
+placed as (
+  select id, s, (2 * count(*) over (partition by g, s order by v) - count(*) over (partition by g, s, v))::hugeint * 1000000000000000
+    // (2 * count(*) over (partition by g, s)) as x from valid),
 flows as (
-  select s, x, case when total > 1 then
-    cast({P} * (c0 - (total - c3)) + (x * (c1 - c0) - (s1 - s0)) - ((s3 - s2) - x * (c3 - c2)) as double) / (cast({P} as double) * (total - 1))
-    else 0.0 end as flow
-  from sums),
-per as (select v.id, f.flow from valid v join points p on v.g = p.g and v.s = p.s and v.v = p.v join flows f on f.s = p.s and f.x = p.x),
+  select a.id, a.s, case when count(*) > 1 then
+    sum(greatest(-200000000000000, least(200000000000000, a.x - b.x)))::double / (200000000000000::double * (count(*) - 1)) else 0.0 end as flow
+  from placed a join placed b using (s) group by a.id, a.s),
 net as (
   select o.output_id, count(flow) as n_scores, round(sum(flow) / nullif(count(flow), 0), 9) as net_flow
-  from ec_outputs o left join per on per.id = o.output_id group by 1)
-select output_id, n_scores, net_flow, rank() over (order by coalesce(cast(round(net_flow * {ranking.FLOW_STEPS}) as bigint), -{2 * ranking.FLOW_STEPS}) desc) as rank
+  from ec_outputs o left join flows f on f.id = o.output_id group by 1)
+select output_id, n_scores, net_flow, rank() over (order by coalesce(cast(round(net_flow * 1000000000) as bigint), -2000000000) desc) as rank
 from net
 """
 
@@ -104,7 +87,7 @@ SQL: dict[str, str] = {
     "p4_overlap_counts": f"""with recursive {_NEAR}
 select dataset, replace(lower(trim(split)), '_', '-') as split, count(*) as pairs, count(distinct row_id) as rows
 from (select unnest([row_a, row_b]) as row_id from pairs) join rows using (row_id) where not train group by all""",
-    "p1_ranking": _ranking(),
+    "p1_ranking": _RANKING,
     "p5_found": f"with {_LINES} select first_line_id, line_id from hashed where first_line_id < line_id",
     "p5_distinct_hypotheses": f"with {_LINES} select distinct first_line_id as line_id, copies from hashed",
     "p9_statistics": _statistics(),

@@ -1,7 +1,12 @@
 import math
 import random
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from hypomill.llm import ranking as R
+from hypomill.runtime import materialize
 
 SCHEMA = "output_id bigint, ec_system_id string, ec_sequence_score double, asr_sequence_score double, combined_score double, id string, v double, r int"
 
@@ -19,10 +24,10 @@ def brute(rows):
             own = [(k, r[1 + s]) for k, r in enumerate(rows) if r[0] == g and r[1 + s] is not None and math.isfinite(r[1 + s]) and r[1 + s] not in R.SENTINELS]
             for k, v in own:
                 below, equal = sum(w < v for _, w in own), sum(w == v for _, w in own)
-                x[k] = (2 * below + equal) * R.GRID // (2 * len(own))
+                x[k] = Fraction(2 * below + equal, 2 * len(own))
         for k, a in x.items():
-            total = sum(max(-R.FULL, min(R.FULL, a - b)) for b in x.values())
-            flows[k].append(total / (R.FULL * (len(x) - 1)) if len(x) > 1 else 0.0)
+            total = sum(max(-1, min(1, 5 * (a - b))) for b in x.values())
+            flows[k].append(float(total / (len(x) - 1)) if len(x) > 1 else 0.0)
     return [sum(f) / len(f) if f else None for f in flows]
 
 
@@ -69,3 +74,21 @@ def test_one_group_holds_most_rows(spark):
     rows = [("hot", float(k % 5), None, None) for k in range(2000)] + [("x", float(k), None, None) for k in range(50)]
     got = R.rank_outputs(outputs(spark, rows)).collect()
     assert len(got) == 2050 and all(r.net_flow is not None for r in got)
+
+
+def test_two_million_values_of_one_group_stay_apart(spark):
+    n, f = 2_000_000, 400_000
+    rows = spark.range(n).select(
+        F.col("id").alias("output_id"), F.lit("a").alias("ec_system_id"), F.pow(F.col("id").cast("double"), 1.5).alias("ec_sequence_score"),
+        F.lit(None).cast("double").alias("asr_sequence_score"), F.lit(None).cast("double").alias("combined_score"))
+    got = materialize(R.rank_outputs(rows))
+    # with n different values the flow of the k-th is a sum over whole numbers
+    k = np.arange(n, dtype=np.int64)
+    below, above = np.minimum(k, f), np.minimum(n - 1 - k, f)
+    want = (below * (below + 1) // 2 + (k - below) * f - above * (above + 1) // 2 - (n - 1 - k - above) * f) / (f * (n - 1))
+    chosen = got.where("output_id % 99991 = 0 or output_id > 1999990").collect()
+    assert len(chosen) > 20
+    for r in chosen:
+        assert abs(r.net_flow - want[r.output_id]) < 2e-9
+    # far from the ends every step is a fifth of the scale wide on both sides, at the ends less
+    assert got.where("net_flow is null").count() == 0 and got.agg(F.countDistinct("net_flow")).first()[0] > 1_900_000
