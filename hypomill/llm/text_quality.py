@@ -3,8 +3,10 @@
 Statistics are computed in one pass over each text. A Gaussian mixture is fitted to the
 standardised statistics of *all* documents by expectation-maximization; each iteration is one
 distributed pass that returns only sufficient statistics (their size depends on components and
-statistics, never on the data). Components begin at inspected examples (``quality_examples``)
-and carry the kinds of the examples that they claim in the end.
+statistics, never on the data). No label takes part: the fit begins with one component, splits
+every component along its widest statistic, and goes on as long as the Bayesian information
+criterion gets better. Then each component is mapped to the kind of the inspected examples
+(``quality_examples``) that are most likely under it.
 """
 
 from __future__ import annotations
@@ -123,12 +125,16 @@ FITTED = [i for i, n in enumerate(STATISTICS) if n != "log_words"]
 #: Square roots of shares spread the small values, where most texts differ.
 _ROOTED = [STATISTICS.index(n) for n in (
     "symbol_ratio", "digit_ratio", "bullet_share", "odd_words", "odd_chars", "inline_marks", "tag_share", "blank_runs")]
-ITERATIONS = 8
+#: Components are split up to so many.
+MOST_COMPONENTS = 128
+#: Iterations after a split, and at most after the last one.
+ROUNDS, LAST_ROUNDS = 2, 4
+#: Gain of log-likelihood per document under which the last rounds end.
+CONVERGED = 1e-3
 #: Least variance of a standardised statistic within a component.
-FLOOR = 0.05
-#: No component gets narrower than this share of the variance it began with: one text copied
-#: over and over must not make other prose improbable.
-LEAST_SPREAD = 0.5
+FLOOR = 0.02
+#: A component is split if it has so many documents and is wider than the floor.
+SPLIT_DOCUMENTS, SPLIT_WIDTH = 20, 1.5 * FLOOR
 #: Standardised values are held within this distance of the mean.
 REACH = 6.0
 
@@ -145,26 +151,70 @@ class Mixture:
 
     def __init__(self, center: np.ndarray, scale: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> None:
         self.center, self.scale, self.weight, self.mean, self.var = center, scale, weight, mean, var
+        self._linear = np.hstack([-0.5 / var, mean / var]).T.astype(np.float32)
+        self._constant = (-0.5 * (mean * mean / var + np.log(2 * np.pi * var)).sum(1)).astype(np.float32)
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.center) / self.scale, -REACH, REACH)
-
-    def responsibilities(self, z: np.ndarray) -> np.ndarray:
-        precision = 1 / self.var
-        quad = (z * z) @ precision.T - 2 * z @ (self.mean * precision).T + (self.mean**2 * precision).sum(1)
-        log = np.log(np.maximum(self.weight, 1e-12)) - 0.5 * (quad + np.log(self.var).sum(1))
-        log -= log.max(1, keepdims=True)
-        r = np.exp(log)
-        return r / r.sum(1, keepdims=True)
+        return np.clip((x - self.center) / self.scale, -REACH, REACH).astype(np.float32)
+
+    def densities(self, z: np.ndarray) -> np.ndarray:
+        """[row, component]: log density of each row under each component."""
+        return np.hstack([z * z, z]) @ self._linear + self._constant
+
+    def responsibilities(self, z: np.ndarray) -> tuple[np.ndarray, float]:
+        """[row, component] shares, and the rows' log-likelihood."""
+        log = self.densities(z) + np.log(np.maximum(self.weight, 1e-12)).astype(np.float32)
+        top = log.max(1, keepdims=True)
+        log -= top
+        r = np.exp(log, out=log)
+        total = r.sum(1, keepdims=True)
+        r /= total
+        return r, float(top.sum(dtype=float) + np.log(total).sum(dtype=float))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """[component, 1 + weights + moments]: the share of the log-likelihood, documents, sums and squares."""
+        z = self.standard(x)
+        r, likelihood = self.responsibilities(z)
+        out = np.hstack([np.zeros((r.shape[1], 1)), r.sum(0, dtype=float)[:, None], (r.T @ np.hstack([z, z * z])).astype(float)])
+        out[0, 0] = likelihood
+        return out
+
+    def moved(self, sums: np.ndarray) -> "Mixture":
+        """The mixture after one iteration; a component that no document belongs to is gone."""
+        d = len(self.center)
+        sums = sums[sums[:, 1] > 1e-6]
+        n = sums[:, 1:2]
+        mean = sums[:, 2 : d + 2] / n
+        var = np.maximum(sums[:, d + 2 :] / n - mean**2, FLOOR)
+        return Mixture(self.center, self.scale, n[:, 0] / n.sum(), mean, var)
+
+    def split(self, documents: float) -> "Mixture | None":
+        """Every component of enough documents in two along its widest statistic; None if there is none."""
+        k = np.flatnonzero((self.weight * documents >= SPLIT_DOCUMENTS) & (self.var.max(1) > SPLIT_WIDTH))
+        if not len(k):
+            return None
+        widest = self.var[k].argmax(1)
+        step, var = np.zeros((len(k), len(self.center))), self.var[k].copy()
+        at = np.arange(len(k)), widest
+        step[at] = 0.8 * np.sqrt(var[at])
+        var[at] = np.maximum(0.4 * var[at], FLOOR)
+        rest = np.setdiff1d(np.arange(len(self.mean)), k)
+        return Mixture(
+            self.center, self.scale, np.concatenate([self.weight[rest], self.weight[k] / 2, self.weight[k] / 2]),
+            np.vstack([self.mean[rest], self.mean[k] + step, self.mean[k] - step]), np.vstack([self.var[rest], var, var]))
+
+    def criterion(self, likelihood: float, documents: float) -> float:
+        """Bayesian information criterion; lower is better."""
+        return -2 * likelihood + (2 * self.mean.size + len(self.mean) - 1) * math.log(documents)
 
 
 def _rows_of(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)).astype(float)
 
 
-def _sums(features: DataFrame, step) -> dict[int, np.ndarray]:
+def _sums(features: DataFrame, step) -> np.ndarray | None:
     """Sum of ``step``'s rows (component, values) over all documents; combined in the executors."""
-    width = 2 * len(FITTED) + 1
+    width = 2 * len(FITTED) + 2
     names = [f"v{i}" for i in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,62 +228,65 @@ def _sums(features: DataFrame, step) -> dict[int, np.ndarray]:
 
     schema = "k int, " + ", ".join(f"{n} double" for n in names)
     got = features.select("stats").mapInArrow(run, schema).groupBy("k").agg(*(F.sum(n).alias(n) for n in names)).collect()
-    return {r.k: np.array(r[1:], float) for r in got}
-
-
-def _moments(r: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return np.hstack([r.sum(0)[:, None], r.T @ z, r.T @ (z * z)])
+    return np.array([r[1:] for r in sorted(got, key=lambda r: r.k)], float) if got else None
 
 
-def start(center: np.ndarray, scale: np.ndarray) -> tuple[Mixture, list[str]]:
-    """One component per style of the inspected examples, at their mean; and the styles' kinds."""
+def inspected() -> tuple[np.ndarray, list[str]]:
+    """Statistics and kinds of the inspected examples."""
     from hypomill.llm.quality_examples import EXAMPLES
 
-    styles = list(dict.fromkeys((k, s) for k, s, _ in EXAMPLES))
-    z = np.clip((design([statistics(t) for _, _, t in EXAMPLES]) - center) / scale, -REACH, REACH)
-    own = np.array([styles.index((k, s)) for k, s, _ in EXAMPLES])
-    mean = np.array([z[own == i].mean(0) for i in range(len(styles))])
-    var = np.array([z[own == i].var(0) for i in range(len(styles))])
-    var = np.maximum((var + var.mean(0)) / 2, 2 * FLOOR)
-    return Mixture(center, scale, np.full(len(styles), 1 / len(styles)), mean, var), [k for k, _ in styles]
+    return design([statistics(t) for _, t in EXAMPLES]), [k for k, _ in EXAMPLES]
 
 
-def fit(features: DataFrame, iterations: int = ITERATIONS) -> tuple[Mixture, np.ndarray, list[str]] | None:
-    """The mixture over all documents, and each component's share of every kind; None without documents."""
+def fit(features: DataFrame, rounds: int = ROUNDS, last_rounds: int = LAST_ROUNDS) -> Mixture | None:
+    """The mixture over all documents, with as many components as the criterion asks for; None without documents.
+
+    The inspected examples are counted among the documents, without their kinds: in a table
+    of a few documents there is then something to set them apart from.
+    """
     d = len(FITTED)
-    got = _sums(features, lambda x: _moments(np.ones((len(x), 1)), x))
-    if not got:
-        return None
-    v = got[0]
-    center = v[1 : d + 1] / v[0]
-    scale = np.maximum(np.sqrt(np.maximum(v[d + 1 :] / v[0] - center**2, 0)), 1e-3)
-    model, kinds = start(center, scale)
-    begun, least = model.mean.copy(), np.maximum(model.var * LEAST_SPREAD, FLOOR)
-    for _ in range(iterations):
-        now = model
-        got = _sums(features, lambda x: _moments(now.responsibilities(now.standard(x)), now.standard(x)))
-        sums = np.array([got[k] for k in range(len(kinds))])
-        n = sums[:, :1]
-        # each component keeps a little of where its examples put it, so one that claims no text stays defined
-        mean = (sums[:, 1 : d + 1] + 2 * begun) / (n + 2)
-        var = np.maximum((sums[:, d + 1 :] + 2 * begun**2 + 2 * 4 * FLOOR) / (n + 2) - mean**2, least)
-        weight = (n[:, 0] + 1) / (n.sum() + len(n))
-        model = Mixture(center, scale, weight, mean, var)
-    return model, component_kinds(model, kinds), sorted(set(kinds))
-
-
-def component_kinds(model: Mixture, kinds: list[str]) -> np.ndarray:
-    """[component, kind]: the kinds of the inspected examples that each component claims."""
-    from hypomill.llm.quality_examples import EXAMPLES
+    examples, _ = inspected()
 
+    def plain(x: np.ndarray) -> np.ndarray:
+        return np.hstack([[[0.0, len(x)]], x.sum(0, keepdims=True), (x * x).sum(0, keepdims=True)])
+
+    got = _sums(features, plain)
+    if got is None:
+        return None
+    v = (got + plain(examples))[0]
+    documents = v[1]
+    center = v[2 : d + 2] / documents
+    scale = np.maximum(np.sqrt(np.maximum(v[d + 2 :] / documents - center**2, 0)), 1e-3)
+    best: tuple[float, Mixture] | None = None
+    model: Mixture | None = Mixture(center, scale, np.ones(1), np.zeros((1, d)), np.ones((1, d)))
+    while model is not None:
+        last = 2 * len(model.mean) > MOST_COMPONENTS
+        before = -math.inf
+        score = math.inf
+        for _ in range(1 if len(model.mean) == 1 else last_rounds if last else rounds):
+            now = model
+            sums = _sums(features, now.sums) + now.sums(examples)
+            likelihood = sums[0, 0]
+            score = min(score, now.criterion(likelihood, documents))
+            model = now.moved(sums)
+            if last and likelihood - before < CONVERGED * documents:
+                break
+            before = likelihood
+        if best is not None and score >= best[0]:
+            break
+        best = (score, model)
+        model = None if last else model.split(documents)
+    return best[1]
+
+
+def component_kinds(model: Mixture) -> tuple[np.ndarray, list[str]]:
+    """[component, kind] shares: the kinds of the inspected examples, by their density under each component."""
+    examples, kinds = inspected()
     names = sorted(set(kinds))
-    r = model.responsibilities(model.standard(design([statistics(t) for _, _, t in EXAMPLES])))
-    votes = np.zeros((len(kinds), len(names)))
-    for row, (kind, _, _) in zip(r, EXAMPLES):
-        votes[:, names.index(kind)] += row
-    for k, kind in enumerate(kinds):
-        votes[k, names.index(kind)] += 1e-3  # one that claims no example keeps the kind it began with
-    return votes / votes.sum(1, keepdims=True)
+    log = model.densities(model.standard(examples)).T.astype(float)
+    near = np.exp(log - log.max(1, keepdims=True))
+    votes = near @ np.array([[k == n for n in names] for k in kinds], float)
+    return votes / votes.sum(1, keepdims=True), names
 
 
 def features(documents: DataFrame) -> DataFrame:
@@ -252,22 +305,22 @@ def features(documents: DataFrame) -> DataFrame:
     return documents.where(has_text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<float>")
 
 
-def classify(documents: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+def classify(documents: DataFrame, rounds: int = ROUNDS, last_rounds: int = LAST_ROUNDS) -> DataFrame:
     """(doc_id, kind, stats) of every document with text; kind is prose, list, table or junk.
 
     Null, empty and blank texts have no row. A repeated document counts under each doc_id.
     """
     stats = materialize(features(documents), "p9-stats")
-    fitted = fit(stats, iterations)
-    if fitted is None:
+    model = fit(stats, rounds, last_rounds)
+    if model is None:
         return stats.select("doc_id", F.lit("prose").alias("kind"), "stats")
-    model, shares, names = fitted
+    shares, names = component_kinds(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                r = model.responsibilities(model.standard(design(_rows_of(batch, 1)))) @ shares
-                kind = pa.array([names[k] for k in r.argmax(1)])
+                r, _ = model.responsibilities(model.standard(design(_rows_of(batch, 1))))
+                kind = pa.array([names[k] for k in (r @ shares).argmax(1)])
                 yield pa.record_batch([batch.column(0), kind, batch.column(1)], names=["doc_id", "kind", "stats"])
 
     return stats.mapInArrow(run, "doc_id long, kind string, stats array<float>")

@@ -4,6 +4,7 @@ import numpy as np
 
 from hypomill.llm import text_quality as Q
 from hypomill.llm.quality_examples import EXAMPLES
+from hypomill.runtime import materialize
 
 RNG = random.Random(12)
 NOUNS = "harbour miller lantern bridge meadow engine cousin tavern anchor kettle ribbon garden window castle".split()
@@ -46,12 +47,45 @@ def test_held_out_accuracy(spark):
     assert right >= 0.95 * len(kinds)
 
 
+def test_expectation_maximization_decides(spark):
+    rng = random.Random(5)
+    kinds = [rng.choices(["prose", "list", "table", "junk"], [8, 1, 1, 1])[0] for _ in range(600)]
+    docs = materialize(spark.createDataFrame([(k, made(kind)) for k, kind in enumerate(kinds)], "doc_id bigint, text string"))
+
+    def right(**rounds):
+        got = {r.doc_id: r.kind for r in Q.classify(docs, **rounds).collect()}
+        return sum(got[k] == kind for k, kind in enumerate(kinds)) / len(kinds)
+
+    with_it, without = right(), right(rounds=0, last_rounds=0)
+    assert with_it >= 0.95 and without <= with_it - 0.1
+
+
+def test_a_text_copied_over_and_over_changes_no_other(spark):
+    rng = random.Random(6)
+    kinds = [rng.choices(["prose", "list", "table", "junk"], [8, 1, 1, 1])[0] for _ in range(300)]
+    rows = [(k, made(kind)) for k, kind in enumerate(kinds)]
+    copies = [(1000 + k, "Her cousin painted the old bridge and nobody in the tavern was asked.") for k in range(300)]
+    got = {r.doc_id: r.kind for r in Q.classify(spark.createDataFrame(rows + copies, "doc_id bigint, text string")).collect()}
+    assert sum(got[k] == kind for k, kind in enumerate(kinds)) >= 0.95 * len(kinds)
+    assert {got[d] for d, _ in copies} == {"prose"}
+
+
+def test_no_example_is_a_text_of_the_test_data(spark):
+    import os
+
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}/documents.parquet"
+        if os.path.exists(path):
+            texts = {r.text for r in spark.read.parquet(path).select("text").collect()}
+            assert not texts & {t for _, t in EXAMPLES}
+
+
 def test_statistics():
     s = dict(zip(Q.STATISTICS, Q.statistics("The cat sat.\nThe dog ran.")))
     assert s["line_end_punct"] == 1.0 and abs(s["word_length"] - 3) < 1e-9 and s["digit_ratio"] == 0.0
     for text in ("x", " . ", "1", "\n\n", "é" * 100000, "a b " * 100000):
         assert np.isfinite(Q.statistics(text)).all()
-    assert all(len(Q.statistics(t)) == len(Q.STATISTICS) for _, _, t in EXAMPLES)
+    assert all(len(Q.statistics(t)) == len(Q.STATISTICS) for _, t in EXAMPLES)
 
 
 def test_edges(spark):
