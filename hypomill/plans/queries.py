@@ -339,6 +339,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.found(_records(spark, d))
 
 
+def p6_words(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of segment words with their texts and probabilities."""
+    return flatten.words(_records(spark, d)).drop("node")
+
+
+def p6_logprobs(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of token log-probabilities."""
+    return flatten.logprobs(_records(spark, d))
+
+
 def p6_word_links(spark: SparkSession, d: str) -> DataFrame:
     """Words and their summed probability in thousandths per hypothesis, linked by interval containment."""
     nodes = flatten.interval_nodes(_records(spark, d))
@@ -355,7 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         training_pairs, tagged_prompts, error_filter, length_ratio, combined_lists, win_loss, bootstrap_difference,
         utterance_violations, candidate_violations, short_lists, voted_texts, request_hashes, unanswered_requests, normalized_curve, output_violations, exchange_violations, manifest_violations, duplicate_ids, duplicate_audio, split_overlap, manifest_counts,
         rank_contiguity, score_coverage, normalizer_consensus, requested_n, parse_lines, missing_utterances, exchange_messages, request_cache,
-        p6_found, p6_word_links,
+        p6_found, p6_words, p6_logprobs, p6_word_links,
     )
 } | {
     "serialize_literal": _serialized("literal-sep@v1"),

@@ -140,6 +140,12 @@ SQL: dict[str, str] = {
 select 'hypothesis' as child, record_id, cast(hyp_pos as int) as hyp_pos, -1 as pos_one, -1 as pos_two from hyps
 union all select 'logprob', record_id, cast(hyp_pos as int), cast(pos - 1 as int), -1 from (select record_id, hyp_pos, generate_subscripts(h.token_logprobs, 1) as pos from hyps)
 union all select 'word', record_id, cast(hyp_pos as int), cast(pos_one as int), cast(pos_two as int) from words""",
+    "p6_words": f"""with {_NODES}
+select record_id, cast(hyp_pos as int) as hyp_pos, cast(pos_one as int) as segment, cast(pos_two as int) as position,
+  case when json_type(w) = 'OBJECT' then w ->> '$.w' else w ->> '$' end as word, case when json_type(w) = 'OBJECT' then cast(w ->> '$.p' as double) end as probability from words""",
+    "p6_logprobs": f"""with {_NODES}
+select record_id, cast(hyp_pos as int) as hyp_pos, cast(pos - 1 as int) as position, h.token_logprobs[pos] as logprob
+from (select record_id, hyp_pos, h, unnest(generate_series(1, len(h.token_logprobs))) as pos from hyps)""",
     "p6_word_links": f"""with {_NODES}
 select record_id, cast(hyp_pos as int) as hyp_pos, count(*) as words, cast(sum(cast(round(cast(w ->> '$.p' as double) * 1000) as bigint)) as bigint) as thousandths from words group by all""",
     "normalize_text": f"select row_id, {norm('reference_raw')} as normalized from data_manifest",

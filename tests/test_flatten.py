@@ -62,3 +62,30 @@ def test_intervals_nest_and_link(spark):
 def test_large_record(spark):
     got = run(spark, *[(r, "t" * 5000, [-0.1] * 500, meta([{"words": [{"w": "a"}] * 50}] * 20)) for r in range(40)])
     assert len(got) == 40 * (1 + 500 + 1000)
+
+
+def test_segments_in_segments_link_to_the_innermost(spark):
+    inner = {"words": [{"w": "deep"}], "note": "n"}
+    outer = {"words": [{"w": "a"}, {"w": "b"}], "extra": {"segments": [{"words": []}, inner]}}
+    df = spark.createDataFrame([(7, ([(1, "one", [], json.dumps({"segments": [{"words": ["x"]}, outer], "k": [1, {"z": None}]}))],), None, None)], SCHEMA)
+    rows = X.interval_nodes(df).collect()
+    assert len({(r.record_id, r.pre) for r in rows}) == len(rows)
+    by = {r.pre: r for r in rows}
+    words = {r.content: r for r in rows if r.child == "word"}
+    assert {w: (r.pos_one, r.pos_two) for w, r in words.items()} == {"x": (0, 0), "a": (1, 0), "b": (1, 1), "deep": (1, 0)}
+    holds = lambda w: [r for r in rows if r.child == "segment" and r.pre < words[w].pre and words[w].post < r.post]
+    assert len(holds("a")) == 1 and len(holds("deep")) == 2  # its segment, and the one around it
+    assert max(holds("deep"), key=lambda r: r.pre).parent != holds("a")[0].parent
+    # every object and array has a node, and every node lies inside its parent
+    assert sorted((r.child, r.name or "") for r in rows if r.child in ("object", "array")) == sorted(
+        [("object", "metadata"), ("array", "segments"), ("array", "words"), ("array", "words"), ("object", "extra"), ("array", "segments"), ("array", "words"), ("array", "words"), ("array", "k"), ("object", "")])
+    for r in rows:
+        assert r.parent is None or (by[r.parent].pre < r.pre and r.post < by[r.parent].post)
+    assert {(r.content, r.number) for r in rows if r.child == "value"} == {("n", None), ("1", 1.0), (None, None)}
+
+
+def test_words_with_further_fields_keep_them(spark):
+    df = spark.createDataFrame([(7, ([(1, "one", [], meta([{"words": [{"w": "a", "p": 0.5, "alt": ["b", "c"]}]}]))],), None, None)], SCHEMA)
+    nodes = X.interval_nodes(df)
+    assert [(r.word, r.probability) for r in X.words(df).collect()] == [("a", 0.5)]
+    assert {r.content for r in nodes.where("name is null and child = 'value'").collect()} == {"b", "c"}
