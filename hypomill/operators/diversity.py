@@ -46,8 +46,9 @@ def cross_error_rate(unique: DataFrame, *keys: str) -> DataFrame:
 def evaluate(records: DataFrame, requested_n: int) -> DataFrame:
     """(metric, n, value, errors, tokens): baseline, oracle by N and diversity in one long table."""
     scored = score_table(records).where(F.col("rank") <= requested_n)
-    base = corpus_metrics(scored.where("rank = 1")).select(F.lit("baseline").alias("metric"), F.lit(1).alias("n"), F.col("error_rate").alias("value"), "errors", F.col("reference_tokens").alias("tokens"))
-    oracle = oracle_by_n(scored.withColumn("n", F.least("n", F.lit(requested_n)))).select(F.lit("oracle").alias("metric"), F.col("requested_n").alias("n"), F.col("error_rate").alias("value"), "errors", F.col("reference_tokens").alias("tokens"))
+    # the baseline is the oracle among one candidate, so both come from one pass
+    names = F.when(F.col("requested_n") == 1, F.array(F.lit("baseline"), F.lit("oracle"))).otherwise(F.array(F.lit("oracle")))
+    rates = oracle_by_n(scored).select(F.explode(names).alias("metric"), F.col("requested_n").alias("n"), F.col("error_rate").alias("value"), "errors", F.col("reference_tokens").alias("tokens"))
     unique = unique_texts(records, requested_n)
     none = F.lit(None).cast("long")
     mean = averages(unique)
@@ -57,4 +58,4 @@ def evaluate(records: DataFrame, requested_n: int) -> DataFrame:
 
     diversity = mean.select(F.inline(F.array(*(row(m, F.col(m)) for m in ("average_raw_unique", "average_normalized_unique", "empty_candidates")))))
     cross = cross_error_rate(unique).select(F.lit("cross").alias("metric"), F.lit(requested_n).alias("n"), F.col("error_rate").alias("value"), "errors", F.col("reference_tokens").alias("tokens"))
-    return base.unionByName(oracle).unionByName(diversity).unionByName(cross)
+    return rates.unionByName(diversity).unionByName(cross)

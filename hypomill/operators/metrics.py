@@ -16,10 +16,13 @@ def error_rate(errors: Column, reference_tokens: Column) -> Column:
     return F.when(reference_tokens > 0, errors / reference_tokens).when(errors == 0, F.lit(0.0))
 
 
-def corpus_metrics(scored: DataFrame, *keys: str) -> DataFrame:
-    """Ratio of sums over the rows of each key (of all rows without keys). Rows without counts add nothing."""
+def corpus_metrics(scored: DataFrame, *keys: str, also: list[Column] | None = None) -> DataFrame:
+    """Ratio of sums over the rows of each key (of all rows without keys). Rows without counts add nothing.
+
+    ``also``: further aggregates of the same rows.
+    """
     sums = [F.coalesce(F.sum(f"edits.{name}"), F.lit(0)).cast("long").alias(name) for name in ("substitutions", "deletions", "insertions", "reference_tokens")]
-    total = scored.groupBy(*keys).agg(F.count("edits.reference_tokens").alias("utterances"), *sums)
+    total = scored.groupBy(*keys).agg(F.count("edits.reference_tokens").alias("utterances"), *sums, *(also or ()))
     e = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     return total.withColumn("errors", e).withColumn("error_rate", error_rate(F.col("errors"), F.col("reference_tokens")))
 

@@ -105,14 +105,14 @@ def filter_by_error(scored: DataFrame, limit: float = 0.25) -> DataFrame:
     return scored.where("rank = 1").withColumn("error_rate", rate).withColumn("kept", F.coalesce(F.col("error_rate") <= limit, F.lit(False)))
 
 
-def combined_lists(records: DataFrame, per_system: int) -> DataFrame:
+def combined_lists(records: DataFrame, per_system: int | None = None) -> DataFrame:
     """The lists of all systems of one utterance as one list: first candidates of each system first, then second ones.
 
     Texts that normalise alike are kept once, at their best place. Each record of an utterance
-    contributes at most per_system candidates. An open channel may hold any number of records
+    contributes all its candidates, or at most per_system of them. An open channel may hold any number of records
     under one id, so the numbering works in ranges, not in one task per utterance.
     """
-    rows = nbest_lists(records).where("utt_id is not null").select("utt_id", "system_id", "record_id", F.inline(F.slice("hypotheses", 1, per_system)))
+    rows = nbest_lists(records).where("utt_id is not null").select("utt_id", "system_id", "record_id", F.inline("hypotheses" if per_system is None else F.slice("hypotheses", 1, per_system)))
     best = rows.withColumn("hyp", conservative_english(F.col("text_raw"))).groupBy("utt_id", "hyp").agg(
         F.min(F.struct("rank", "system_id", "record_id")).alias("b"), F.countDistinct("system_id").alias("systems"))
     flat = best.select("utt_id", "hyp", "systems", F.col("b.rank").alias("best_rank"), F.col("b.system_id").alias("s"), F.col("b.record_id").alias("r"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,22 +25,38 @@ def oracle_selection(scored: DataFrame) -> DataFrame:
         "record_id", F.col("b.rank").alias("rank"), F.col("b.text_raw").alias("text_raw"), F.col("b.edits").alias("edits"))
 
 
+def first_and_best(scored: DataFrame) -> DataFrame:
+    """(record_id, system_id, a, b): the edits of each record's first candidate and of its oracle, in one aggregation."""
+    e = errors(F.col("edits"))
+    per = scored.groupBy("record_id").agg(
+        F.min_by(F.struct("system_id", "edits"), "rank").alias("first"), F.min_by("edits", F.struct(e.alias("e"), F.col("rank"))).alias("b"))
+    return per.select("record_id", "first.system_id", F.col("first.edits").alias("a"), "b")
+
+
 def cut_offs(n: Column) -> Column:
     """The N at which oracles are reported: 1, 5 (or fewer) and all."""
     return F.array_sort(F.array_distinct(F.array(F.lit(1), F.least(F.lit(5), n), n)))
 
 
 def oracle_by_n(scored: DataFrame) -> DataFrame:
-    """Oracle error rate by number of candidates looked at: one running minimum, every N from one pass.
+    """Oracle error rate by number of candidates looked at; every N from one gathering of each list.
 
     A record with fewer than N candidates counts with all it has.
     """
-    so_far = Window.partitionBy("record_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = scored.withColumn("best", F.min(F.struct(errors(F.col("edits")).alias("e"), F.col("rank"), F.col("edits").alias("edits"))).over(so_far))
-    longest = scored.agg(F.max("rank").alias("n"))  # one row
-    wanted = longest.select(F.explode(cut_offs(F.col("n"))).alias("requested_n"))
-    rows = best.select("record_id", "rank", "n", "best.edits").crossJoin(F.broadcast(wanted))
-    return corpus_metrics(rows.where("rank = least(requested_n, n)"), "requested_n")
+    return corpus_metrics(best_at_cut_offs(scored), "requested_n")
+
+
+def best_at_cut_offs(scored: DataFrame) -> DataFrame:
+    """(requested_n, edits): the best candidate of every record among its first N, for each cut-off.
+
+    Candidates go back to their lists once; each cut-off then takes the least of a prefix
+    inside the row. A list holds as many candidates as a decoder keeps.
+    """
+    longest = scored.agg(F.max("rank").alias("longest"))  # one row; no candidate is aligned for it
+    member = F.struct(errors(F.col("edits")).alias("e"), F.col("rank"), F.col("edits"))
+    lists = scored.groupBy("record_id").agg(F.collect_list(member).alias("c")).crossJoin(F.broadcast(longest))
+    best = F.transform(cut_offs(F.col("longest")), lambda n: F.struct(n.alias("requested_n"), F.array_min(F.filter("c", lambda x: x["rank"] <= n))["edits"].alias("edits")))
+    return lists.select(F.inline(best))
 
 
 def with_exact_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
@@ -68,11 +89,30 @@ def constrained(rows: DataFrame, weight: Column, *keys: str) -> DataFrame:
     return rows.groupBy("record_id", *keys).agg(best.alias("b")).select("record_id", *keys, "b.*")
 
 
-def finite_scores(rows: DataFrame) -> DataFrame:
-    """Rows of records whose every candidate has a finite recogniser score; the others cannot be decoded."""
-    bad = F.col("sequence_logscore").isNull() | F.isnan("sequence_logscore") | (F.abs("sequence_logscore") == float("inf"))
-    w = Window.partitionBy("record_id")
-    return rows.withColumn("_bad", F.max(bad).over(w)).where(~F.col("_bad")).drop("_bad")
+def _not_finite(score: str) -> Column:
+    return F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf"))
+
+
+def _with_bad(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_bad", F.max(_not_finite("sequence_logscore")).over(Window.partitionBy("record_id")))
+
+
+def finite_scores(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows of records whose every candidate has a finite recogniser score.
+
+    The others cannot be decoded: ``undecodable`` gives them, and ``strict`` raises an error.
+    """
+    marked = _with_bad(rows)
+    ok = ~F.col("_bad")
+    if strict:
+        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a candidate without a finite score in record "), F.col("record_id").cast("string"))).cast("boolean"))
+    return marked.where(ok).drop("_bad")
+
+
+def undecodable(rows: DataFrame) -> DataFrame:
+    """(record_id, rank, problem): the quarantined side of ``finite_scores``; problem is null for the sound candidates of such a list."""
+    problem = F.when(F.col("sequence_logscore").isNull(), "missing").when(_not_finite("sequence_logscore"), "not finite")
+    return _with_bad(rows).where("_bad").select("record_id", "rank", problem.alias("problem"))
 
 
 def standardized(rows: DataFrame, *columns: str) -> DataFrame:
@@ -136,12 +176,25 @@ def ranking_score(sum_logprob: Column, tokens: Column, length_penalty: float | N
     return sum_logprob / (size if length_penalty is None else F.pow((F.lit(5.0) + size) / F.lit(6.0), F.lit(float(length_penalty))))
 
 
-def rank_candidates(rows: DataFrame, key: str, length_penalty: float | None = None) -> DataFrame:
+def _beam_problem() -> Column:
+    return F.when(F.coalesce("tokens", F.lit(0)) < 1, "no tokens").when(_not_finite("sum_logprob"), "score not finite")
+
+
+def unrankable(rows: DataFrame, key: str) -> DataFrame:
+    """(key, original_index, problem): beams without tokens or without a finite score, the quarantined side of ``rank_candidates``."""
+    return rows.select(key, "original_index", _beam_problem().alias("problem")).where("problem is not null")
+
+
+def rank_candidates(rows: DataFrame, key: str, length_penalty: float | None = None, strict: bool = False) -> DataFrame:
     """Rank finalised beams (key, original_index, tokens, sum_logprob) from 1; equal scores keep their order.
 
-    Beams without tokens or without a finite score cannot be ranked and are left out.
+    Beams that cannot be ranked are what ``unrankable`` gives; ``strict`` raises an error for one.
     """
-    known = rows.where("tokens > 0 and sum_logprob is not null and not isnan(sum_logprob) and abs(sum_logprob) < double('infinity')")
+    problem = _beam_problem()
+    fine = problem.isNull()
+    if strict:
+        fine = F.when(fine, F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
+    known = rows.where(fine)
     scored = known.withColumn("ranking_score", ranking_score(F.col("sum_logprob"), F.col("tokens"), length_penalty))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ranking_score"), "original_index")))
 
@@ -153,22 +206,41 @@ def loss_and_win(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, a: str, b: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """Paired bootstrap of an error-rate difference: one row a replicate, resampled by a hash of (seed, replicate, record).
+    """Paired bootstrap of an error-rate difference: one row a replicate.
 
-    Each record's weight in a replicate is Poisson(1), drawn from the hash, so replicates need
-    no shuffle of records and come out the same on every cluster.
+    Each record's weight in a replicate is Poisson(1), drawn from a hash of (seed, record,
+    replicate), four replicates a hash, so the draw is the same on every cluster. Every task
+    adds its records into one vector of sums a replicate; no row is repeated.
     """
-    spark = rows.sparkSession
-    ids = spark.range(replicates).withColumnRenamed("id", "replicate")
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("record_id").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
-    weight = F.lit(0)
-    for limit in POISSON_ONE:
-        weight = weight + F.when(u > limit, 1).otherwise(0)
-    drawn = rows.crossJoin(F.broadcast(ids)).withColumn("w", weight.cast("long")).where("w > 0")
-    ref = F.sum(F.col("w") * F.col(f"{a}.reference_tokens"))
-    ea, eb = F.sum(F.col("w") * errors(F.col(a))), F.sum(F.col("w") * errors(F.col(b)))
-    return drawn.groupBy("replicate").agg(ea.alias("errors_a"), eb.alias("errors_b"), ref.alias("tokens")).select(
-        "replicate", "errors_a", "errors_b", "tokens", (error_rate(F.col("errors_a"), F.col("tokens")) - error_rate(F.col("errors_b"), F.col("tokens"))).alias("difference"))
+    names = ("errors_a", "errors_b", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates, 3), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids = part.column(0).to_pylist()
+                drawn = b"".join(hashlib.md5(f"{seed}:{k}:{i}".encode()).digest() for i in ids for k in range(-(-replicates // 4)))
+                u = (np.frombuffer(drawn, ">u4").reshape(len(ids), -1)[:, :replicates].astype(float) + 0.5) / 4294967296.0
+                weights = np.searchsorted(POISSON_ONE, u, side="left")
+                total += weights.T @ np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]]).astype(np.int64)
+        yield pa.record_batch([pa.array(range(replicates), pa.int64()), *map(pa.array, total.T)], names=["replicate", *names])
+
+    light = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+        F.col("record_id").cast("string"), errors(F.col(a)).cast("long").alias("a"), errors(F.col(b)).cast("long").alias("b"), F.col(f"{a}.reference_tokens").cast("long").alias("n"))
+    sums = light.na.drop().mapInArrow(run, "replicate long, errors_a long, errors_b long, tokens long").groupBy("replicate").agg(*(F.sum(n).alias(n) for n in names))
+    return sums.where("tokens > 0 or errors_a > 0 or errors_b > 0").select(
+        "replicate", *names, (error_rate(F.col("errors_a"), F.col("tokens")) - error_rate(F.col("errors_b"), F.col("tokens"))).alias("difference"))
+
+
+def bootstrap_interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:
+    """(replicates, mean, lower, upper): the percentile interval of the difference at ``level``; one row."""
+    tail = (1 - level) / 2
+
+    def quantile(p: float) -> Column:
+        return F.expr(f"percentile_disc({p!r}) within group (order by difference)")
+
+    return replicates.agg(F.count("difference").alias("replicates"), F.avg("difference").alias("mean"), quantile(round(tail, 6)).alias("lower"), quantile(round(1 - tail, 6)).alias("upper"))
 
 
 # Cumulative probabilities of a Poisson variable of mean 1.

@@ -14,7 +14,7 @@ from hypomill.operators import diversity, flatten, metrics, nbest, pairs, reques
 from hypomill.runtime import table
 from hypomill.sources import jsonl
 
-#: Candidates that evaluation queries look at.
+#: Candidates that diversity and short-list queries ask for; all others take whole lists.
 N = 5
 EDITS = ("substitutions", "deletions", "insertions", "reference_tokens")
 
@@ -59,9 +59,9 @@ def alignment_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alignment_trace(spark: SparkSession, d: str) -> DataFrame:
-    rows = nbest.candidates(_records(spark, d)).where("rank = 1")
+    rows = nbest.candidates(_records(spark, d))
     steps = word_trace(conservative_english(F.col("reference")), conservative_english(F.col("text_raw")))
-    return rows.select("record_id", steps.alias("steps")).select("record_id", F.posexplode("steps").alias("pos", "step")).select("record_id", "pos", "step.op", "step.ref", "step.hyp")
+    return rows.select("record_id", "rank", steps.alias("steps")).select("record_id", "rank", F.posexplode("steps").alias("pos", "step")).select("record_id", "rank", "pos", "step.op", "step.ref", "step.hyp")
 
 
 def wer_by_system(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +86,7 @@ def line_wer_by_rank(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "data_manifest").where("utt_id is not null and reference_raw is not null").groupBy("utt_id").agg(F.min("reference_raw").alias("reference"))
     rows = lines.select("utt_id", "rank", conservative_english(F.col("text_raw")).alias("hyp")).join(refs, "utt_id", "left")
     scored = rows.withColumn("edits", word_edits(conservative_english(F.col("reference")), F.col("hyp")))
-    total = metrics.corpus_metrics(scored, "rank")
-    lost = rows.groupBy("rank").agg(F.count_if(F.col("reference").isNull()).alias("without_reference"))
-    return total.join(lost, "rank")
+    return metrics.corpus_metrics(scored, "rank", also=[F.count_if(F.col("reference").isNull()).alias("without_reference")])
 
 
 def correction_diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -101,11 +99,9 @@ def correction_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 def werr_by_system(spark: SparkSession, d: str) -> DataFrame:
     """Relative reduction of the oracle over the first candidate, per recogniser."""
-    scored = nbest.score_table(_records(spark, d))
-    base = metrics.corpus_metrics(scored.where("rank = 1"), "system_id").select("system_id", F.col("error_rate").alias("baseline"))
-    best = selection.oracle_selection(scored).join(scored.where("rank = 1").select("record_id", "system_id"), "record_id")
-    oracle = metrics.corpus_metrics(best, "system_id").select("system_id", F.col("error_rate").alias("oracle"))
-    both = base.join(oracle, "system_id")
+    per = _first_and_oracle(spark, d)
+    tokens, before, after = F.sum("a.reference_tokens"), F.sum(errors(F.col("a"))), F.sum(errors(F.col("b")))
+    both = per.groupBy("system_id").agg(metrics.error_rate(before, tokens).alias("baseline"), metrics.error_rate(after, tokens).alias("oracle"))
     return both.withColumn("werr", metrics.relative_reduction(F.col("baseline"), F.col("oracle")))
 
 
@@ -169,6 +165,15 @@ def _ranked(spark: SparkSession, d: str, penalty: float | None) -> DataFrame:
     return selection.rank_candidates(_beams(spark, d), "record_id", penalty).select("record_id", "original_index", F.round("ranking_score", 9).alias("ranking_score"), "rank")
 
 
+def undecodable_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates whose list cannot be decoded, with what is wrong with their score."""
+    return selection.undecodable(nbest.candidates(_records(spark, d)))
+
+
+def unrankable_beams(spark: SparkSession, d: str) -> DataFrame:
+    return selection.unrankable(_beams(spark, d), "record_id")
+
+
 def rank_by_length(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, None)
 
@@ -186,7 +191,7 @@ def sequence_logprob(spark: SparkSession, d: str) -> DataFrame:
 
 # --- training pairs -----------------------------------------------------------------------------
 def _serialized(name: str, order: str = "rank") -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: pairs.serialized(_records(spark, d), pairs.SERIALIZERS[name], N, order)
+    return lambda spark, d: pairs.serialized(_records(spark, d), pairs.SERIALIZERS[name], None, order)
 
 
 def training_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +199,7 @@ def training_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tagged_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.serialized(_records(spark, d), pairs.TaggedSerializer("tagged@v1"), N)
+    return pairs.serialized(_records(spark, d), pairs.TaggedSerializer("tagged@v1"))
 
 
 def error_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -211,13 +216,12 @@ def length_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def combined_lists(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.combined_lists(_records(spark, d), N)
+    return pairs.combined_lists(_records(spark, d))
 
 
 def _first_and_oracle(spark: SparkSession, d: str) -> DataFrame:
-    scored = nbest.score_table(_records(spark, d))
-    first = scored.where("rank = 1").select("record_id", "system_id", F.col("edits").alias("a"))
-    return first.join(selection.oracle_selection(scored).select("record_id", F.col("edits").alias("b")), "record_id")
+    """(record_id, system_id, a, b): edits of each list's first and best candidate, from one pass over the lists."""
+    return selection.first_and_best(nbest.score_table(_records(spark, d)))
 
 
 def win_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +229,11 @@ def win_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_difference(spark: SparkSession, d: str) -> DataFrame:
-    return selection.bootstrap(_first_and_oracle(spark, d), "a", "b", 50)
+    return selection.bootstrap(_first_and_oracle(spark, d), "a", "b")
+
+
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    return selection.bootstrap_interval(selection.bootstrap(_first_and_oracle(spark, d), "a", "b"))
 
 
 # --- validation, joins and sets -----------------------------------------------------------------
@@ -243,7 +251,7 @@ def short_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def voted_texts(spark: SparkSession, d: str) -> DataFrame:
     """The text that the candidates of each list vote for, word by word, with its edit counts."""
-    lists = nbest.nbest_lists(_records(spark, d)).select("record_id", "reference", F.transform(F.slice("hypotheses", 1, N), lambda h: conservative_english(h["text_raw"])).alias("texts"))
+    lists = nbest.nbest_lists(_records(spark, d)).select("record_id", "reference", F.transform("hypotheses", lambda h: conservative_english(h["text_raw"])).alias("texts"))
     voted = lists.withColumn("voted", voting.vote(F.col("texts")))
     return _flat_edits(voted.withColumn("edits", word_edits(conservative_english(F.col("reference")), F.col("voted"))), "record_id", "voted")
 
@@ -362,7 +370,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_text, normalize_unicode, token_counts, canonical_metadata, alignment_counts, alignment_trace, wer_by_system, wer_corpus, cer_by_system,
         line_wer_by_rank, correction_diagnostics, werr_by_system, oracle_selection, oracle_by_n, average_unique, cross_wer, nbest_evaluation, prefix_counts,
         constrained_decode, lambda_curve, lambda_select, closest_projection, unconstrained_outputs, rank_by_length, rank_by_penalty, sequence_logprob,
-        training_pairs, tagged_prompts, error_filter, length_ratio, combined_lists, win_loss, bootstrap_difference,
+        training_pairs, tagged_prompts, error_filter, length_ratio, combined_lists, win_loss, bootstrap_difference, bootstrap_interval, undecodable_lists, unrankable_beams,
         utterance_violations, candidate_violations, short_lists, voted_texts, request_hashes, unanswered_requests, normalized_curve, output_violations, exchange_violations, manifest_violations, duplicate_ids, duplicate_audio, split_overlap, manifest_counts,
         rank_contiguity, score_coverage, normalizer_consensus, requested_n, parse_lines, missing_utterances, exchange_messages, request_cache,
         p6_found, p6_words, p6_logprobs, p6_word_links,

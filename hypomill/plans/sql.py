@@ -107,7 +107,7 @@ def _in(values: tuple[str, ...]) -> str:
 
 
 def _serialized(separator: str, order: str) -> str:
-    return f"with {_CAND} select record_id, string_agg(text_raw, ' {separator} ' order by {order}) as source_text from cand where rank <= {N} group by 1"
+    return f"with {_CAND} select record_id, string_agg(text_raw, ' {separator} ' order by {order}) as source_text from cand group by 1"
 
 
 def _standard(x: str) -> str:
@@ -115,9 +115,12 @@ def _standard(x: str) -> str:
 
 
 _NEG = "coalesce({} < 0, false)"
-_BOOT_U = "((('0x' || substr(md5('7:' || replicate || ':' || record_id), 1, 8))::bigint + 0.5) / 4294967296.0)"
+_BOOT_U = "((('0x' || substr(md5('7:' || (replicate // 4) || ':' || record_id), 1 + 8 * (replicate % 4), 8))::bigint + 0.5) / 4294967296.0)"
 _FIRST_ORACLE = f"""{_ORACLE},
 both_sides as (select f.record_id, f.system_id, f.e as ea, f.reference_tokens as ra, b.e as eb, b.reference_tokens as rb from scored f join best b using (record_id) where f.rank = 1)"""
+_BOOT = f"""{scored()}, {_FIRST_ORACLE},
+drawn as (select replicate, ea, eb, ra, {' + '.join(f'case when u > {p!r}::double then 1 else 0 end' for p in POISSON_ONE)} as w from (select *, {_BOOT_U} as u from both_sides, range(0, 200) t(replicate))),
+sums as (select replicate, cast(sum(w * ea) as bigint) as errors_a, cast(sum(w * eb) as bigint) as errors_b, cast(sum(w * ra) as bigint) as tokens from drawn group by 1)"""
 _SPLIT = "replace(lower(trim(split)), '_', '-')"
 
 # What stands in place of an array is its only element; JSON text that holds JSON text is opened once.
@@ -220,22 +223,25 @@ select item, count(v) as token_count, round(coalesce(sum(v), 0.0), 6) as logprob
 select record_id, any_value(utt_id) as utt_id, string_agg(text_raw, ' [SEP] ' order by rank) as source_text, any_value(reference) as target_raw, {norm('any_value(reference)')} as target_normalized,
   3 as input_nbest, 'literal-sep@v1' as serializer_id, sha256('{{"prefix":"","separator":"[SEP]","serializer_id":"literal-sep@v1"}}') as serializer_sha256
 from cand where n >= 3 and rank <= 3 group by record_id""",
-    "tagged_prompts": f"with {_CAND} select record_id, string_agg('<hyp' || rank || '> ' || text_raw || ' </hyp' || rank || '>', chr(10) order by rank) as source_text from cand where rank <= {N} group by 1",
+    "tagged_prompts": f"with {_CAND} select record_id, string_agg('<hyp' || rank || '> ' || text_raw || ' </hyp' || rank || '>', chr(10) order by rank) as source_text from cand group by 1",
     "error_filter": f"""with recursive {scored(where='rank = 1')}
 select dataset, coalesce((case when reference_tokens > 0 then e / reference_tokens when e = 0 then 0.0 end) <= 0.25, false) as kept, count(*) as pairs, cast(sum(e) as bigint) as errors from scored group by all""",
     "length_ratio": f"""with {_CAND}, s as (select system_id, len({words(norm('reference'))}) as r, len({words(norm('text_raw'))}) as h from cand where rank = 1)
 select *, hypothesis_words / nullif(reference_words, 0) as ratio from (select system_id, cast(sum(h) as bigint) as hypothesis_words, cast(sum(r) as bigint) as reference_words, count(*) filter (h = 0) as empty from s group by 1)""",
     "combined_lists": f"""with {_CAND},
-x as (select utt_id, {norm('text_raw')} as hyp, system_id, record_id, rank from cand where rank <= {N} and utt_id is not null),
+x as (select utt_id, {norm('text_raw')} as hyp, system_id, record_id, rank from cand where utt_id is not null),
 f as (select * from (select *, row_number() over (partition by utt_id, hyp order by rank, system_id, record_id) as o from x) where o = 1),
 c as (select utt_id, hyp, count(distinct system_id) as systems from x group by all)
 select utt_id, hyp, systems, cast(rank as int) as best_rank, cast(row_number() over (partition by utt_id order by rank, system_id, record_id, hyp) as int) as combined_rank from f join c using (utt_id, hyp)""",
+    "undecodable_lists": f"""with {_CAND}, b as (select *, logscore is null or isnan(logscore) or isinf(logscore) as bad from cand)
+select record_id, cast(rank as int) as rank, case when logscore is null then 'missing' when bad then 'not finite' end as problem from (select *, bool_or(bad) over (partition by record_id) as any_bad from b) where any_bad""",
+    "unrankable_beams": f"""with {_CAND}
+select record_id, cast(rank as int) as original_index, case when tokens < 1 then 'no tokens' else 'score not finite' end as problem from cand where tokens < 1 or logscore is null or isnan(logscore) or isinf(logscore)""",
     "win_loss": f"""with recursive {scored()}, {_FIRST_ORACLE}
 select system_id, count(*) filter (eb < ea) as wins, count(*) filter (eb = ea) as ties, count(*) filter (eb > ea) as losses from both_sides group by 1""",
-    "bootstrap_difference": f"""with recursive {scored()}, {_FIRST_ORACLE},
-drawn as (select replicate, ea, eb, ra, {' + '.join(f'case when u > {p!r}::double then 1 else 0 end' for p in POISSON_ONE)} as w from (select *, {_BOOT_U} as u from both_sides, range(0, 50) t(replicate))),
-sums as (select replicate, cast(sum(w * ea) as bigint) as errors_a, cast(sum(w * eb) as bigint) as errors_b, cast(sum(w * ra) as bigint) as tokens from drawn where w > 0 group by 1)
-select *, errors_a / tokens - errors_b / tokens as difference from sums""",
+    "bootstrap_difference": f"""with recursive {_BOOT} select *, errors_a / tokens - errors_b / tokens as difference from sums""",
+    "bootstrap_interval": f"""with recursive {_BOOT}, d as (select errors_a / tokens - errors_b / tokens as difference from sums)
+select count(*) as replicates, avg(difference) as mean, quantile_disc(difference, 0.025) as lower, quantile_disc(difference, 0.975) as upper from d""",
     "utterance_violations": _count_rules("utterance_records", {
         "blank_id": _blank("utt_id", "dataset", "split", "audio_path"),
         "schema_version": "schema_version <> '1.0'",
