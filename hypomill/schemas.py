@@ -28,7 +28,7 @@ LLM_EXCHANGE = (
     "input_tokens bigint, output_tokens bigint, latency_ms double, retry_count int, errors array<string>"
 )
 NBEST_LINE = "utt_id string, rank int, text_raw string, text_normalized string, sequence_logscore double, score_type string, source_system_id string"
-EC_SCORES = "utt_id string, rank int, ec_score double"
+EC_PAIR = "utt_id string, source_text string, target_raw string, target_normalized string, input_nbest int, serializer_id string, serializer_sha256 string"
 EDIT_COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions", "reference_tokens")])
 EDIT_OPERATIONS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "ref", "hyp")]))
 
@@ -36,5 +36,4 @@ EDIT_OPERATIONS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for
 SCORE_TYPES = ("sum_logprob", "length_normalized_logprob", "rnnt_score", "unknown")
 PARSER_STATUSES = ("not_applicable", "parsed", "malformed", "empty", "truncated", "provider_error")
 EVIDENCE_LABELS = ("PAPER", "REFERENCE_PAPER", "INFERENCE", "RECOMMENDATION", "OPEN_GAP")
-EDIT_OPERATION_TYPES = ("correct", "substitution", "deletion", "insertion")
 SCHEMA_VERSION = "1.0"

@@ -16,12 +16,19 @@ def parse(text: Column, schema: str) -> Column:
     return F.from_json(text, f"{schema}, {BROKEN} string", {"columnNameOfCorruptRecord": BROKEN})
 
 
-def scan(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: str, strict: bool = True, first: int | None = None) -> DataFrame:
     """Rows of a JSONL artifact; blank lines are skipped.
 
-    ``strict`` raises an error for a line that does not fit; otherwise such rows keep it in ``_broken``.
+    ``strict`` raises an error for a line that does not fit; otherwise such rows keep it in
+    ``_broken``. ``first``: only so many rows, in file order.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
+    if first is not None:
+        if not isinstance(first, int) or isinstance(first, bool) or first < 1:
+            raise ManifestError("max_records must be a positive integer")
+        # a block's lines are numbered upwards; the blocks of a file follow each other
+        place = (F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        lines = lines.select("value", *place).orderBy("f", "b", "i").limit(first)
     rows = lines.select(parse(F.col("value"), schema).alias("r")).select("r.*")
     if not strict:
         return rows
@@ -29,8 +36,9 @@ def scan(spark: SparkSession, path: str, schema: str, strict: bool = True) -> Da
     return rows.where(ok).drop(BROKEN)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return _some(scan(spark, path, schemas.MANIFEST), path)
+def manifest(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
+    """Manifest rows; with ``max_records`` the first ones in file order."""
+    return _some(scan(spark, path, schemas.MANIFEST, first=max_records), path)
 
 
 def utterances(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +46,20 @@ def utterances(spark: SparkSession, path: str) -> DataFrame:
     return _some(scan(spark, path, schemas.UTTERANCE), path)
 
 
+def outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Correction outputs; the open provenance map stays JSON text."""
+    return _some(scan(spark, path, schemas.EC_OUTPUT), path)
+
+
+def exchanges(spark: SparkSession, path: str) -> DataFrame:
+    """Cached provider exchanges; generation parameters stay JSON text."""
+    return _some(scan(spark, path, schemas.LLM_EXCHANGE), path)
+
+
+def training_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return _some(scan(spark, path, schemas.EC_PAIR), path)
+
+
 def nbest_lines(lines: DataFrame) -> DataFrame:
     """One N-best hypothesis per line of a table with a ``payload``: its fields, and ``broken`` where it states none."""
     r = parse(F.col("payload"), schemas.NBEST_LINE)
@@ -48,12 +70,3 @@ def _some(df: DataFrame, path: str) -> DataFrame:
     if df.isEmpty():
         raise ManifestError(f"no records in {path}")
     return df
-
-
-def first_rows(df: DataFrame, order: str, k: int | None) -> DataFrame:
-    """The first k rows in file order (``order``); all of them without k."""
-    if k is None:
-        return df
-    if not isinstance(k, int) or isinstance(k, bool) or k < 1:
-        raise ManifestError("max_records must be a positive integer")
-    return df.orderBy(order).limit(k)

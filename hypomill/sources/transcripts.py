@@ -13,13 +13,16 @@ AUDIO_MAGIC = "664C6143"
 
 
 def transcript_lines(spark: SparkSession, root: str, split: str) -> DataFrame:
-    """(path, line, utt_id, reference_raw, ok) of every transcript line of a split.
+    """(path, number, line, utt_id, reference_raw, ok) of every transcript line of a split, numbered from 1.
 
     A line is an id, blanks and a reference; anything else, blank lines included, is not ok.
+    A chapter's transcript is a small file and is read whole, so its lines need no shuffle.
     """
-    lines = spark.read.text(f"{root}/{split}/*/*/*.trans.txt").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
-    parts = r"^\s*(\S+)\s+(\S.*?)\s*$"
-    return lines.select("path", "line", F.regexp_extract("line", parts, 1).alias("utt_id"), F.regexp_extract("line", parts, 2).alias("reference_raw"), F.col("line").rlike(parts).alias("ok"))
+    files = spark.read.text(f"{root}/{split}/*/*/*.trans.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    each = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
+    lines = files.select("path", F.posexplode(each).alias("number", "line")).withColumn("number", F.col("number") + 1)
+    parts = r"(?U)^\s*(\S+)\s+(\S.*?)\s*$"
+    return lines.select("path", "number", "line", F.regexp_extract("line", parts, 1).alias("utt_id"), F.regexp_extract("line", parts, 2).alias("reference_raw"), F.col("line").rlike(parts).alias("ok"))
 
 
 def audio_probe(spark: SparkSession, root: str, split: str) -> DataFrame:
@@ -44,7 +47,7 @@ def manifest(spark: SparkSession, root: str, split: str, dataset: str = "librisp
     rows = lines.withColumn("audio_path", F.concat(folder, F.lit("/"), F.col("utt_id"), F.lit(".flac"))).join(audio_probe(spark, root, split), "audio_path", "left")
     normal = normalize(F.col("reference_raw"))
     why = (
-        F.when(~F.col("ok"), F.concat(F.lit("broken transcript line in "), F.col("path"))).when(F.col("sound").isNull(), F.concat(F.lit("missing audio: "), F.col("audio_path")))
+        F.when(~F.col("ok"), F.concat(F.lit("broken transcript line "), F.col("number").cast("string"), F.lit(" in "), F.col("path"))).when(F.col("sound").isNull(), F.concat(F.lit("missing audio: "), F.col("audio_path")))
         .when(~F.col("sound"), F.concat(F.lit("broken audio: "), F.col("audio_path"))).when(F.col("n") == "", F.concat(F.lit("empty reference: "), F.col("utt_id"))))
     checked = rows.withColumn("n", normal).withColumn("why", why)
     good = F.when(F.col("why").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("why")).cast("boolean"))

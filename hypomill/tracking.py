@@ -16,6 +16,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hypomill.errors import ConfigError, ManifestError, StoreError
 from hypomill.functions.jsoncanon import canonical_json, config_sha256, run_id
@@ -128,6 +129,22 @@ def write_nbest_once(records: DataFrame, root: Path | str, system: str) -> Artif
     return write_jsonl_once(records, root, [system], volatile=VOLATILE)
 
 
+def write_outputs_once(outputs: DataFrame, root: Path | str, system: str) -> Artifact:
+    """Publish one correction system's outputs, one per utterance."""
+    if outputs.select("ec_system_id").distinct().where(F.col("ec_system_id") != system).take(1):
+        raise ManifestError(f"outputs of another system than {system}")
+    return write_jsonl_once(outputs, root, [system])
+
+
+def write_exchanges_once(exchanges: DataFrame, root: Path | str, model: str) -> Artifact:
+    """Publish one model's exchanges under their request hashes; times of asking are no content."""
+    return write_jsonl_once(exchanges, root, [model], key="request_hash", volatile=("requested_utc", "response_utc", "latency_ms"))
+
+
+def write_pairs_once(pairs: DataFrame, root: Path | str, name: str) -> Artifact:
+    return write_jsonl_once(pairs, root, [name])
+
+
 @dataclass(frozen=True)
 class RunManifest:
     run_id: str

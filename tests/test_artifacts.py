@@ -28,7 +28,7 @@ def test_transcripts(spark, tmp_path):
 
 
 @pytest.mark.parametrize("change,message", [
-    ({"audio": {0: b"invalid"}}, "broken audio"), ({"audio": {1: b"f"}}, "broken audio"), ({"lines": ("1-2-0000 HI", "lonely")}, "broken transcript"), ({"lines": ("1-2-0000 HI", "")}, "broken transcript"), ({"lines": ("1-2-0000 ...",)}, "empty reference"),
+    ({"audio": {0: b"invalid"}}, "broken audio"), ({"audio": {1: b"f"}}, "broken audio"), ({"lines": ("1-2-0000 HI", "lonely")}, "broken transcript line 2 in"), ({"lines": ("1-2-0000 HI", "")}, "broken transcript line 2 in"), ({"lines": ("1-2-0000 ...",)}, "empty reference"),
 ])
 def test_broken_corpora(spark, tmp_path, change, message):
     corpus(tmp_path, **change)
@@ -118,8 +118,27 @@ def test_lenient_and_strict_scan(spark, tmp_path):
         jsonl.scan(spark, str(path), schemas.NBEST_LINE).collect()
     for bad in (0, True, "x"):
         with pytest.raises(ManifestError):
-            jsonl.first_rows(spark.range(3), "id", bad)
-    assert [r.id for r in jsonl.first_rows(spark.range(3), "id", 2).collect()] == [0, 1]
+            jsonl.scan(spark, str(path), schemas.NBEST_LINE, first=bad)
+
+
+def test_first_records_in_file_order(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text("".join(json.dumps({"utt_id": u}) + "\n\n" for u in "zyxab"))
+    assert [r.utt_id for r in jsonl.manifest(spark, str(path), 3).collect()] == ["z", "y", "x"]
+
+
+def test_outputs_exchanges_and_pairs_round_trip(spark, tmp_path):
+    out = spark.createDataFrame([("u1", "sys", "closest", "A b", "a b", 1, 0.5, -1.0, -2.0, -1.5, "parsed", 3.0, False, '{"k":1}')], schemas.EC_OUTPUT)
+    made = tracking.write_outputs_once(out, tmp_path, "sys")
+    assert jsonl.outputs(spark, str(made.path)).collect() == out.collect()
+    with pytest.raises(ManifestError):
+        tracking.write_outputs_once(out, tmp_path, "other")
+    exchange = spark.createDataFrame(
+        [("ab" * 32, "p", "m", [("user", "say")], "{}", "t1", "t2", "said", ("said", "said"), None, "parsed", 5, 2, 1.0, 0, [])], schemas.LLM_EXCHANGE)
+    back = jsonl.exchanges(spark, str(tracking.write_exchanges_once(exchange, tmp_path, "m").path)).first()
+    assert (back.messages[0].content, back.parsed_output.raw, back.requested_utc, back.errors) == ("say", "said", None, [])
+    pair = spark.createDataFrame([("u1", "a [SEP] b", "A", "a", 2, "literal-sep@v1", "0" * 64)], schemas.EC_PAIR)
+    assert jsonl.training_pairs(spark, str(tracking.write_pairs_once(pair, tmp_path, "pairs").path)).collect() == pair.collect()
 
 
 def write(path, value):
@@ -155,7 +174,8 @@ def test_command_line(spark, tmp_path, capsys):
 
     assert cli.main(["evaluate-nbest", "--artifact", made["path"], "--runs-root", str(tmp_path / "runs")], spark) == 0
     got = json.loads(capsys.readouterr().out)
-    assert got["requested_n"] == 2 and got["metrics"]["oracle@2"]["value"] == 0.0 and got["metrics"]["baseline@1"]["value"] > 0
+    assert got["requested_n"] == 2 and got["metrics"]["oracle_by_n"]["2"]["error_rate"] == 0.0 and got["metrics"]["baseline"]["counts"]["errors"] > 0
+    assert got["metrics"]["diversity"]["requested_n"] == 2 and got["metrics"]["diversity"]["cross_wer"]["utterance_count"] == 2
     assert json.loads((tmp_path / "runs" / got["run_directory"].split("/")[-1] / "metrics.json").read_text()) == got["metrics"]
 
     bad = write(tmp_path / "bad.json", config | {"beam_size": 3})

@@ -16,8 +16,8 @@ def plan(df):
     return out.getvalue()
 
 
-#: Joins without keys against a fixed handful of rows: cut-offs, replicates.
-CROSSED = {"oracle_by_n", "nbest_evaluation", "bootstrap_difference"}
+#: Joins without keys against a fixed handful of rows: cut-offs.
+CROSSED = {"oracle_by_n", "nbest_evaluation"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
