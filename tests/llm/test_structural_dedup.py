@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from hypomill.llm import structural_dedup as D
 
 
@@ -34,14 +32,29 @@ def test_hot_group_and_long_text(spark):
     assert D.found(lines(spark, rows)).count() == 499
 
 
-def test_nested_digests(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "a")], "x string, y string")
-
-    def root(ordered, names=("x", "y")):
-        inner = D.Node({names[0]: D.Leaf(F.col("x")), names[1]: D.Leaf(F.col("y"))}, ordered)
-        return D.Node({"inner": inner, "k": D.Leaf(F.lit(1))})
-
-    swapped = df.select(root(False).digest().alias("a"), root(False, ("y", "x")).digest().alias("b")).collect()
-    assert swapped[0].a != swapped[1].a and swapped[0].a == swapped[1].b
-    nulls = spark.createDataFrame([(None, "~"), ("~", None)], "x string, y string").select(root(False).digest().alias("d"), root(False).canonical().alias("c")).collect()
-    assert nulls[0].d != nulls[1].d and nulls[0].c != nulls[1].c
+def test_nested_digests():
+    one = {"a": {"x": "Hello, World", "y": [1, {"k": "Two!", "m": None}]}, "tags": ["b", "A"]}
+    two = json.loads('{"tags": ["a", "B."], "a": {"y": [1.0, {"m": null, "k": "two"}], "x": "hello world"}}')
+    rules = D.Rules(unordered=frozenset({"tags"}))
+    assert D.merkle(one, rules) == D.merkle(two, rules)
+    assert D.merkle(one, D.Rules())[0] != D.merkle(two, D.Rules())[0]  # without the rule an array has an order
+    changed = [
+        {"a": {"x": "Hello, World", "y": [{"k": "Two!", "m": None}, 1]}, "tags": ["b", "A"]}, {"a": {"y": "Hello, World", "x": [1, {"k": "Two!", "m": None}]}, "tags": ["b", "A"]},
+        {"a": {"x": "Hello, World", "y": [1, {"k": "Two!"}]}, "tags": ["b", "A"]}, {"a": {"x": "Hello, World", "y": [1, {"k": "Two!", "m": "~"}]}, "tags": ["b", "A"]},
+        {"a": {"x": "Hello, World", "y": [1, {"k": "Two!", "m": None}]}, "tags": ["b", "A", "A"]}, {"a": {"x": "Hello, World", "y": [[1, {"k": "Two!", "m": None}]]}, "tags": ["b", "A"]},
+    ]
+    for other in changed:
+        assert D.merkle(other, rules)[0] != D.merkle(one, rules)[0] and D.merkle(other, rules)[1] != D.merkle(one, rules)[1]
+
+
+def test_nested_records(spark):
+    rows = ['{"a": {"x": 1, "y": ["P", "q"]}}', '{ "a": {"y": ["p.", "Q"], "x": 1.0}, "b": [] }', '{"b":[],"a":{"x":1,"y":["p","q"]}}', '{"a": {"x": 1, "y": ["q", "p"]}}', "[1]", "{", None]
+    hashed = D.with_root_digest(lines(spark, rows), "line_id", "payload", D.Rules())
+    assert {(r.first_id, r.id) for r in D.copies_of(hashed).collect()} == {(1, 2)}
+    deep = "[" * 100_000 + "]" * 100_000
+    assert D.with_root_digest(lines(spark, ['{"a": %s}' % deep]), "line_id", "payload", D.Rules()).count() == 0
+
+
+def test_a_collision_merges_nothing(spark):
+    rows = spark.createDataFrame([(1, b"d", "x"), (2, b"d", "y"), (3, b"d", "x"), (4, b"d", "y"), (5, b"e", "x"), (6, b"e", "x"), (7, b"d", "z")], "id bigint, root_digest binary, canonical string")
+    assert {(r.first_id, r.id) for r in D.copies_of(rows).collect()} == {(1, 3), (2, 4), (5, 6)}
