@@ -3,16 +3,20 @@
 A reply is first freed of its wrapping (code fence, JSON field, quotes, label). Copies are found
 by compression: the request's parts are compressed with the reply as zstandard dictionary (a
 part that the reply holds costs next to nothing), and the reply with the request as dictionary
-tells how much of it is the request's own words. Dictionaries of refusal phrases and of function
-words decide refusals and languages, and a terminal-context model - what still follows, in the
-request, on the words with which the reply ends - decides truncation.
+tells how much of it is the request's own words. Of replies that are not made of the request's
+words, a dictionary of refusal cues - who speaks, what is denied, what it is about - tells the
+refusals, and script and function words tell another language, also one that no list knows:
+its texts hold hardly a function word of the language asked for. A terminal-context model -
+what still follows, in the request, on the words with which the reply ends, and where the
+request says nothing, how often that word ends a text and that source marks an end - decides
+truncation.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hypomill.runtime import bounded_broadcast, materialize
+
 #: Share of a part that the reply explains, from which the part counts as given back.
 INSTRUCTION_SHARE, PASSAGE_SHARE, QUOTED_PASSAGE_SHARE = 0.5, 0.3, 0.8
 #: A reply of so many times a candidate's words holds more than one candidate.
@@ -58,20 +64,40 @@ for _name, _list in FUNCTION_WORDS.items():
     for _w in _list:
         _languages.setdefault(_w, []).append(_name)
 
-# Phrases of declining replies.
-REFUSAL = re.compile(
-    r"\b(?:i(?:'m| am)? (?:can(?:no|')t|can not|am unable|am not able|won't be able|will not be able|must decline|have to (?:stop|decline)|"
-    r"don't feel comfortable|do not feel comfortable|would rather not|'d rather not)|i'd rather not|i won't be able|unable to (?:process|help|assist|provide|complete)|"
-    r"not something i can|(?:request|task) (?:has been|was|is) declined|not be appropriate for me|falls outside what i|goes against my|as an ai|as a language model|"
-    r"can(?:no|')t (?:help|assist|provide|process|answer)|must decline|not allowed to|against my guidelines|"
-    r"nothing i (?:may|can) (?:share|say|give)|no \w+ (?:will|can) be (?:given|provided|made)|not (?:permitted|authori[sz]ed)|"
-    r"ich darf \w+|je ne suis pas|je n'ai pas le droit|no (?:estoy|tengo) (?:autorizad\w|permi\w+)|"
-    r"nicht helfen|nicht weiterhelfen|kann ich (?:leider )?nicht|kann (?:das|dies|diese\w*) (?:leider )?nicht|nicht möglich|muss (?:ich )?ablehnen|nicht beantworten|"
-    r"ne (?:peux|puis) pas|pas en mesure|dois refuser|impossible de (?:vous|traiter|répondre)|"
-    r"no puedo (?:ayudar|procesar|responder|realizar|continuar|hacer|completar)|no me es posible|debo (?:rechazar|negarme)|no soy capaz)\b|"
-    r"^(?:(?:i'm |i am )?sorry|i apologi[sz]e|unfortunately|regrettably|leider|es tut mir leid|entschuldigung|désolée?|je suis désolée?|malheureusement|lo siento|lamentablemente|perdón)\b"
-)
+# Cues of declining replies, as whole words or, with a star, as beginnings of words.
+REFUSAL_CUES = {
+    # who speaks, or whose rules
+    "self": "i i'm i'd i'll i've me my mine myself we're ai assistant model ich mir mich mein* wir unser* je j moi mon ma mes nous notre nos yo me mi mis nosotros "
+            "nuestr* estoy tengo puedo ik mij mijn wij onze io mio sono posso eu meu minha estou jag min vi vår",
+    # what is denied
+    "denied": "stop* not n't cannot can't won't don't couldn't wouldn't shouldn't isn't never no none nothing unable unwilling declin* refus* reject* rather prefer* sorry apolog* regret* unfortunately afraid "
+              "nicht kein* niemals leider ablehn* verweiger* bedauer* ne n pas refuse* refuser désolé* malheureusement regrette* impossible ningun* niet geen helaas non não purtroppo spiacente infelizmente "
+              "lamento lamentablemente siento negarme rechaz* inte tyvärr",
+    # what it is about
+    "task": "help* assist* comply provid* process* answer* respond* complet* perform* fulfil* continu* proceed* discuss* engage* giv* request* task* instruction* able comfortable "
+            "helfen weiterhelfen antwort* beantwort* bearbeit* anfrage* aufgabe* aid* répond* trait* demande* tâche* fournir "
+            "ayud* proces* respond* solicitud* tarea* realizar helpen beantwoorden verzoek aiut* rispond* ajud* hjälp*",
+    # by what rule; two of these are enough
+    "rule": "polic* guideline* permi* allow* authori* appropriate inappropriate remit scope violat* prohibit* restrict* unsafe responsib* abilit* capab* possible safety consent confidential* private privacy copyright* "
+            "erlaub* darf dürfen richtlinie* möglich zulässig befugt autoris* droit règle* mesure autoriz* posible norma* polític* capaz toegestaan beleid consentit* permitid* tillåt*",
+}
+_cues: dict[str, set[str]] = {}
+_cue_starts: list[tuple[str, str]] = []
+for _kind, _listed in REFUSAL_CUES.items():
+    for _w in _listed.split():
+        if _w.endswith("*"):
+            _cue_starts.append((_w[:-1], _kind))
+        else:
+            _cues.setdefault(_w, set()).add(_kind)
+_starts = re.compile("(?:" + "|".join(sorted((re.escape(w) for w, _ in _cue_starts), key=len, reverse=True)) + ")")
+_kind_of_start = dict(_cue_starts)
+#: Share of words that are cues from which a text of two kinds of cues declines.
+CUE_SHARE = 0.16
+
+
 _word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_cue_word = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_foreign_script = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
 _plain = re.compile(r"[^\W_]+")
 _label = re.compile(
     r"^(?:(?:corrected |final )?(?:transcript(?:ion)?|answer|text|result|summary|output|antwort|transkript|réponse|respuesta)|"
@@ -99,10 +125,37 @@ def explained(text: str, source: str) -> float:
     return 1 - max(0, len(coder.compress(raw)) - _FRAME) / alone
 
 
+def declines(content: str) -> bool:
+    """Does a text speak of itself and of what it will not or may not do?
+
+    It holds cues of two kinds (or two of rules), and cues are no small part of its first
+    sentence or of all of it.
+    """
+    def cues(text: str) -> tuple[int, int, int]:
+        kinds: Counter = Counter()
+        words, hits = _cue_word.findall(text), 0
+        for w in words:
+            own = _cues.get(w, set())
+            if not own and w.endswith("n't"):
+                own = {"denied"}
+            if not own and (m := _starts.match(w)):
+                own = {_kind_of_start[m[0]]}
+            hits += bool(own)
+            kinds.update(own)
+        return len(kinds) + (kinds["rule"] > 1), hits, len(words)
+
+    text = content.lower().replace("’", "'")
+    for part in (re.split(r"(?<=[.!?])\s", text, maxsplit=1)[0], text):
+        kinds, hits, words = cues(part)
+        if kinds > 1 and hits >= CUE_SHARE * words:
+            return True
+    return False
+
+
 def unwrap(reply: str) -> tuple[str, bool]:
     """A reply's content without its wrapping, and whether the wrapping is closed."""
     s, closed = reply.replace("​", "").replace("﻿", "").strip(), True
-    for _ in range(6):
+    while True:  # every layer taken off makes it shorter
         before = s
         if s.startswith("```"):
             body = re.sub(r"^```\w*\n?", "", s)
@@ -121,10 +174,7 @@ def unwrap(reply: str) -> tuple[str, bool]:
                     s = _unfinished_json.sub("", s, count=1).rstrip()
                     s = re.sub(r'"\s*\}?$', "", s)
             else:
-                while isinstance(value, (dict, list)):
-                    inner = list(value.values()) if isinstance(value, dict) else value
-                    value = next((x for x in inner if isinstance(x, (str, dict, list))), next((x for x in inner if x is not None), ""))
-                s = str(value).strip()
+                s = "\n".join(_told(value)).strip()
         elif s[:1] in "\"“«" and s[:1]:
             pair = {'"': '"', "“": "”", "«": "»"}[s[0]]
             if len(s) > 1 and s.endswith(pair):
@@ -134,11 +184,27 @@ def unwrap(reply: str) -> tuple[str, bool]:
                 s = s[1:].strip()
         else:
             s = _label.sub("", s, count=1).strip()
-        if s == before:
+        if len(s) >= len(before):
             break
     return s, closed
 
 
+def _told(value) -> list[str]:
+    """What a JSON reply tells: all its texts, in order; without any, its numbers."""
+    texts: list[str] = []
+    other: list[str] = []
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, (dict, list)):
+            todo += reversed(x.values() if isinstance(x, dict) else x)
+        elif isinstance(x, str):
+            texts.append(x)
+        elif x is not None:
+            other.append(str(x))
+    return texts or other
+
+
 def plain(text: str) -> list[str]:
     return _plain.findall(text.lower())
 
@@ -222,71 +288,61 @@ def left_over(reply: list[str], text: list[str]) -> tuple[int, int, bool]:
     return best
 
 
-#: Hash buckets of the terminal-context model's words and of its sources.
-BUCKETS = 4096
 #: A word that ends fewer of its occurrences than this does not end a text.
 RARE_END = 0.01
 #: Share of a source's replies with an end mark from which a missing one tells.
 SETS_MARKS = 0.5
+#: Words that a task counts before it passes them on.
+HELD_WORDS = 100_000
 
 
-def _bucket(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) % BUCKETS
+def word_ends(replies: DataFrame) -> DataFrame:
+    """(word, seen, ended): how often each word occurs and ends a marked text, over all replies. ``replies``: text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        ended: Counter = Counter()
 
-class Endings:
-    """Terminal-context model: how often a word ends a text, and how often a source marks the end.
-
-    Counted over all replies; words and sources share hash buckets, so its size is fixed.
-    """
-
-    def __init__(self, seen: np.ndarray, ended: np.ndarray, replies: np.ndarray, marked: np.ndarray) -> None:
-        self.end_rate = (ended + 0.05) / (seen + 10.0)
-        self.mark_rate = (marked + 2.0) / (replies + 2.0)
+        def told() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ended[w] for w in seen], pa.int64())], names=["word", "seen", "ended"])
+            seen.clear()
+            ended.clear()
+            return out
 
-    def rarely_ends(self, word: str) -> bool:
-        return bool(self.end_rate[_bucket(word)] < RARE_END)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                content, closed = unwrap(text)
+                words = plain(content)
+                seen.update(words)
+                if words and closed and _end_mark(content):
+                    ended[words[-1]] += 1
+                if len(seen) > HELD_WORDS:
+                    yield told()
+        yield told()
 
-    def sets_marks(self, source: str | None) -> bool:
-        return bool(self.mark_rate[_bucket(source or "")] >= SETS_MARKS)
+    counts = replies.where("text is not null").select("text").mapInArrow(run, "word string, seen long, ended long")
+    return counts.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
 
 
-def fit_endings(replies: DataFrame) -> Endings:
-    """Count words, ends and marks of all replies. ``replies``: source, text.
+def settled(judged: DataFrame, replies: DataFrame) -> DataFrame:
+    """Adds ``early`` to ``judged`` rows (source, has_words, marked, last_word, ...): whether a reply whose
+    request says nothing of its end (last_word is not null) stops early; null for all others.
 
-    Every task returns at most one row a bucket; what reaches the driver is 2 * BUCKETS rows.
+    It does if its source marks most ends, or if its last word hardly ever ends a text. Ends are
+    counted over all replies, words and sources by themselves. Words are counted only where a
+    source without marks leaves replies open. ``judged`` is read more than once and should be written.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((4, BUCKETS), np.int64)
-        known: dict[str, int] = {}
-        for batch in batches:
-            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                content, closed = unwrap(text)
-                words = plain(content)
-                if not words:
-                    continue
-                if len(known) > 200_000:
-                    known.clear()
-                for w in words:
-                    b = known.get(w)
-                    if b is None:
-                        b = known[w] = _bucket(w)
-                    table[0, b] += 1
-                marked = closed and _end_mark(content)
-                table[2, _bucket(source or "")] += 1
-                if marked:
-                    table[1, _bucket(words[-1])] += 1
-                    table[3, _bucket(source or "")] += 1
-        at = np.flatnonzero(table.any(0))
-        yield pa.record_batch([pa.array(at, pa.int32()), *(pa.array(row[at]) for row in table)], names=["b", "seen", "ended", "replies", "marked"])
-
-    names = ("seen", "ended", "replies", "marked")
-    counts = replies.where("text is not null").mapInArrow(run, "b int, seen long, ended long, replies long, marked long").groupBy("b").agg(*(F.sum(n).alias(n) for n in names))
-    table = np.zeros((4, BUCKETS))
-    for row in counts.collect():
-        table[:, row.b] = row[1:]
-    return Endings(*table)
+    marks = judged.where("has_words").groupBy("source").agg(((F.count_if("marked") + 2.0) / (F.count(F.lit(1)) + 2.0) >= SETS_MARKS).alias("sets_marks"))
+    marks = bounded_broadcast(marks.select(F.col("source").alias("_source"), "sets_marks"), "p2-marks")
+    known = judged.join(marks, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    asked = F.col("last_word").isNotNull()
+    open_ = asked & ~F.coalesce("sets_marks", F.lit(False))
+    early = F.when(asked, F.coalesce("sets_marks", F.lit(False)))
+    if known.where(open_).isEmpty():
+        return known.withColumn("early", early).drop("sets_marks")
+    rare = word_ends(replies).where(f"(ended + 0.05) / (seen + 10.0) < {RARE_END}").select(F.col("word").alias("_word"), F.lit(True).alias("rare"))
+    met = known.withColumn("_open", F.when(open_, F.col("last_word"))).join(rare, F.col("_open") == F.col("_word"), "left")
+    return met.withColumn("early", early | F.when(asked, F.coalesce("rare", F.lit(False)))).drop("sets_marks", "_open", "_word", "rare")
 
 
 def _end_mark(content: str) -> bool:
@@ -302,8 +358,8 @@ def _gives_back(words: list[str], request: Request) -> bool:
     return len(words) >= LIST_RATIO * length + 1 or (len(words) > 3 and explained(asked, " ".join(words)) >= INSTRUCTION_SHARE)
 
 
-def _stops_early(content: str, words: list[str], request: Request, own: float, at_limit: bool, endings: Endings | None = None, source: str | None = None) -> bool:
-    """Does the text go on where the reply ends? By the request it answers, else by the terminal-context model."""
+def _stops_early(content: str, words: list[str], request: Request, own: float, at_limit: bool) -> bool | None:
+    """Does the text go on where the reply ends, by the request it answers? None: the request does not say."""
     if _end_mark(content):
         return False
     end = content.rstrip().rstrip("\"'”»)*_`")[-1:]
@@ -313,8 +369,6 @@ def _stops_early(content: str, words: list[str], request: Request, own: float, a
         asked, listed = plain(request.instruction), [w for c in request.candidates for w in c]
         _, left, cut = min((left_over(words, t) for t in (asked, listed, asked + listed, listed + asked)), key=lambda f: (f[0], f[1]))
         return cut or left > 3
-    if request.candidates and content[:1].isupper() and len(words) > 1:
-        return True  # written as a sentence, but for its end
     if request.candidates and own >= OWN_WORDS:
         if words in request.candidates:
             return False
@@ -333,11 +387,20 @@ def _stops_early(content: str, words: list[str], request: Request, own: float, a
     tail = words[-3:]
     if any(s[-3:] == tail for s in request.sentences):
         return False
-    return endings is None or endings.sets_marks(source) or endings.rarely_ends(words[-1]) or at_limit
+    # the first letters of the word with which the passage goes on
+    around = " " + " ".join(plain(request.passage)) + " "
+    at = around.find(" " + " ".join(tail))
+    if at >= 0 and around[at + len(" ".join(tail)) + 1] != " " and f" {' '.join(tail)} " not in around:
+        return True
+    return True if at_limit else None
 
 
-def defect(messages: list[dict] | None, reply: str | None, output_tokens: int | None = None, most_tokens: int | None = None, endings: Endings | None = None, source: str | None = None) -> str | None:
-    """The defect of one exchange's reply, or None. Where several apply, the first of: empty,
+#: The verdict on a reply of which only the terminal-context model can tell whether it is cut.
+OPEN_END = "open"
+
+
+def defect(messages: list[dict] | None, reply: str | None, output_tokens: int | None = None, most_tokens: int | None = None) -> str | None:
+    """The defect of one exchange's reply, or None, or OPEN_END. Where several apply, the first of: empty,
     copied, refusal, wrong_language, truncated."""
     if reply is None:
         return "empty"
@@ -350,7 +413,8 @@ def defect(messages: list[dict] | None, reply: str | None, output_tokens: int |
         return None if closed else "truncated"
     said = " ".join(words)
     instruction, passage = " ".join(plain(request.instruction)), " ".join(plain(request.passage))
-    if len(words) >= 4 and len(instruction.split()) >= 4 and explained(instruction, said) >= INSTRUCTION_SHARE:
+    # a whole sentence of the passage answers a question, however much of the question it repeats
+    if len(words) >= 4 and len(instruction.split()) >= 4 and words not in request.sentences and explained(instruction, said) >= INSTRUCTION_SHARE:
         return "copied"
     own = own_share(words, request)
     if request.candidates:
@@ -363,20 +427,42 @@ def defect(messages: list[dict] | None, reply: str | None, output_tokens: int |
         if share >= (QUOTED_PASSAGE_SHARE if request.question else PASSAGE_SHARE) and _sentences_held(request, said) > 1:
             return "copied"
     if own < OWN_WORDS:
-        lowered = content.lower().replace("’", "'")
-        if REFUSAL.search(lowered):
+        if declines(content):
             return "refusal"
-        asked = language_scores(request.text)
-        spoken = language_scores(content)
-        first, second = sorted(asked.values(), reverse=True)[:2]
-        # a correction or an answer takes its words from the request; few words of another language tell enough
-        bound = bool(request.candidates or request.question) and own < UNKNOWN_WORDS
-        if first > second and max(spoken.values()) - spoken[max(asked, key=asked.get)] >= (1 if bound or len(words) < 6 else 1.5):
+        if _other_language(content, words, request, own):
             return "wrong_language"
     if not closed:
         return "truncated"
     at_limit = bool(output_tokens and most_tokens and output_tokens >= most_tokens)
-    return "truncated" if _stops_early(content, words, request, own, at_limit, endings, source) else None
+    early = _stops_early(content, words, request, own, at_limit)
+    return OPEN_END if early is None else "truncated" if early else None
+
+
+#: A reply of so many words with a smaller share of the asked language's function words is in none that it knows.
+LEAST_WORDS, LEAST_FUNCTION_WORDS = 4, 0.12
+
+
+def _other_language(content: str, words: list[str], request: Request, own: float) -> bool:
+    """Is a reply that is not made of the request's words written in another script or language?"""
+    letters = sum(map(str.isalpha, content))
+    foreign = len(_foreign_script.findall(content))
+    if not _foreign_script.search(request.text):
+        if letters and foreign > 0.5 * letters:
+            return True
+    elif letters and not foreign and len(_foreign_script.findall(request.text)) > 0.5 * sum(map(str.isalpha, request.text)):
+        return True
+    asked = language_scores(request.text)
+    spoken = language_scores(content)
+    first, second = sorted(asked.values(), reverse=True)[:2]
+    if first <= second:
+        return False
+    name = max(asked, key=asked.get)
+    # a correction or an answer takes its words from the request; few words of another language tell enough
+    bound = bool(request.candidates or request.question) and own < UNKNOWN_WORDS
+    if max(spoken.values()) - spoken[name] >= (1 if bound or len(words) < 6 else 1.5):
+        return True
+    known = sum(name in _languages.get(w, ()) for w in words)
+    return own < UNKNOWN_WORDS and len(words) >= LEAST_WORDS and known < LEAST_FUNCTION_WORDS * len(words)
 
 
 def own_share(words: list[str], request: Request) -> float:
@@ -406,31 +492,41 @@ def _most_tokens(parameters: str | None) -> int | None:
 
 
 def judge(exchanges: DataFrame) -> DataFrame:
-    """(exchange_id, defect) of every exchange; defect is null where the reply is sound.
+    """(exchange_id, model_id, defect) of every exchange; defect is null where the reply is sound.
 
     A null reply is empty. Null messages leave a reply without a request: it can then only be
     empty, a refusal or cut in its wrapping. Repeated exchanges count under each exchange_id.
     Neither parser_status nor parsed_output is believed.
     """
 
-    endings = fit_endings(exchanges.select(F.col("model_id").alias("source"), F.col("raw_response").alias("text")))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                columns = [c.to_pylist() for c in part.columns[1:]]
-                found = [defect(m, r, n, _most_tokens(p), endings, s) for m, r, n, p, s in zip(*columns)]
-                yield pa.record_batch([part.column(0), pa.array(found, pa.string())], names=["exchange_id", "defect"])
+                replies = part.column(3).to_pylist()
+                verdicts = [defect(m, r, n, _most_tokens(p)) for m, r, n, p in zip(part.column(2).to_pylist(), replies, *(c.to_pylist() for c in part.columns[4:]))]
+                ends = [reply_end(r, v == OPEN_END) for r, v in zip(replies, verdicts)]
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), pa.array([None if v == OPEN_END else v for v in verdicts], pa.string()), *(pa.array(c, t) for c, t in zip(zip(*ends), (pa.bool_(), pa.bool_(), pa.string())))],
+                    names=["exchange_id", "source", "verdict", "has_words", "marked", "last_word"])
 
     light = exchanges.select(
-        "exchange_id",
+        "exchange_id", "model_id",
         F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
-        "raw_response", "output_tokens", "generation_parameters", "model_id",
+        "raw_response", "output_tokens", "generation_parameters",
     )
-    return light.mapInArrow(run, "exchange_id long, defect string")
+    judged = materialize(light.mapInArrow(run, "exchange_id long, source string, verdict string, has_words boolean, marked boolean, last_word string"), "p2-judged")
+    rows = settled(judged, exchanges.select(F.col("raw_response").alias("text")))
+    return rows.select("exchange_id", F.col("source").alias("model_id"), F.when(F.col("early"), "truncated").otherwise(F.col("verdict")).alias("defect"))
+
+
+def reply_end(reply: str | None, asked: bool) -> tuple[bool, bool, str | None]:
+    """Whether a reply has words and a marked end, and its last word where it is asked for."""
+    content, closed = unwrap(reply or "")
+    words = plain(content)
+    return bool(words), bool(words and closed and _end_mark(content)), words[-1] if asked else None
 
 
 def found(exchanges: DataFrame) -> DataFrame:
     """p2_found: (exchange_id, defect) of every defective exchange."""
-    return judge(exchanges).where("defect is not null")
+    return judge(exchanges).where("defect is not null").select("exchange_id", "defect")

@@ -21,12 +21,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_defect_counts(spark: SparkSession, d: str) -> DataFrame:
     """Exchanges by model and defect ('none' for sound replies)."""
-    e = table(spark, d, "llm_exchanges")
-    judged = broken_pairs.judge(e)
-    return (
-        judged.join(e.select("exchange_id", "model_id"), "exchange_id")
-        .groupBy("model_id", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count(F.lit(1)).alias("exchanges"))
-    )
+    judged = broken_pairs.judge(table(spark, d, "llm_exchanges"))
+    return judged.groupBy("model_id", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count(F.lit(1)).alias("exchanges"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_truncated(reply):
 
 def test_truncated_answers():
     assert B.defect(ask(QUESTION, PASSAGE), "Her cousin repaired the engine ne") == "truncated"
-    assert B.defect(ask(SUMMARY, PASSAGE), "Some people worked through a cold day while a cra") == "truncated"
+    assert B.defect(ask(SUMMARY, PASSAGE), "Some people worked through a cold day while a cra") == B.OPEN_END
 
 
 def test_compression_knows_copies():
@@ -110,9 +110,56 @@ def test_sources_without_end_marks(spark):
     said = "people walked along the river while boats passed below the bridge".split()
     texts = [("bare", " ".join(said[: 5 + k % 6])) for k in range(300)] + [("neat", " ".join(said[: 5 + k % 6]).capitalize() + ".") for k in range(300)]
     texts = [(s, t) for s, t in texts if not t.rstrip(".").endswith("the")]
-    endings = B.fit_endings(spark.createDataFrame(texts, "source string, text string"))
-    assert endings.sets_marks("neat") and not endings.sets_marks("bare")
-    assert endings.rarely_ends("the") and not endings.rarely_ends("below")
-    assert B.defect(ask(SUMMARY, PASSAGE), "people walked along the river while boats", None, None, endings, "bare") is None
-    assert B.defect(ask(SUMMARY, PASSAGE), "people walked along the", None, None, endings, "bare") == "truncated"
-    assert B.defect(ask(SUMMARY, PASSAGE), "People walked along the river while boats", None, None, endings, "neat") == "truncated"
+    asked = [("bare", "people walked along the river while boats"), ("bare", "people walked along the"), ("neat", "People walked along the river while boats"), (None, "people walked along the")]
+    rows = [(k, ask(SUMMARY, PASSAGE), t, None, None, s) for k, (s, t) in enumerate(asked + texts)]
+    df = spark.createDataFrame([(k, [(x["role"], x["content"], 1) for x in m], t, n, g, s) for k, m, t, n, g, s in rows], f"exchange_id bigint, {MESSAGES}, raw_response string, output_tokens bigint, generation_parameters string, model_id string")
+    got = {r.exchange_id: r.defect for r in B.judge(df).where("exchange_id < 4").collect()}
+    assert got == {0: None, 1: "truncated", 2: "truncated", 3: "truncated"}
+    counts = {r.word: (r.seen, r.ended) for r in B.word_ends(df.selectExpr("raw_response as text")).collect()}
+    assert counts["the"][1] == 0 and counts["below"][1] > 0
+    assert counts["people"][0] == len(rows)
+
+
+def test_a_candidate_in_another_case_is_whole():
+    candidates = "1. the cat sat on the mat\n2. the cat sat on the hat"
+    for reply in ("The cat sat on the mat", "the cat sat on the mat", "THE CAT SAT ON THE HAT"):
+        assert B.defect(ask(CORRECT, candidates), reply) is None
+
+
+def test_all_texts_of_a_wrapped_reply_count():
+    assert B.unwrap('{"lines": ["one", {"x": "two"}], "n": 3}')[0] == "one\ntwo"
+    deep = "word"
+    for _ in range(12):
+        deep = json.dumps({"text": deep})
+    assert B.unwrap(deep) == ("word", True)
+    assert B.defect(ask(SUMMARY, PASSAGE), json.dumps({"a": PASSAGE[:60], "b": PASSAGE[60:]})) == "copied"
+
+
+# phrases and languages that no list of the module was made from
+HELD_OUT_REFUSALS = [
+    "I'd prefer not to do this one.", "This violates our usage policy.", "That is outside my remit.", "Our guidelines prohibit me from responding here.", "I am not in a position to help with that.",
+    "Sorry, this one I have to turn down.", "It wouldn't be right for me to handle that recording.", "My instructions do not allow a reply to this.", "I refuse.", "Answering this is not permitted under the terms I operate with.",
+    "I will not be doing that.", "Nope, I won't touch this request.", "Dabei kann ich dir leider nicht weiterhelfen.", "Das verstößt gegen meine Richtlinien.", "Ich möchte diese Aufgabe lieber nicht übernehmen.",
+    "Je préfère ne pas répondre à cette demande.", "Cette requête n'est pas autorisée par mes règles.", "No me está permitido hacer eso.", "Prefiero no contestar a esta petición.", "Daar kan ik helaas niet mee helpen.",
+    "Mi dispiace, non posso aiutarti con questo.", "Infelizmente não posso ajudar com isso.",
+]
+HELD_OUT_LANGUAGES = [
+    "De slotenmaker rustte bij de fontein terwijl de kinderen zongen op het plein.", "Il fabbro riposava vicino alla fontana mentre i bambini cantavano nella piazza.", "O serralheiro descansava perto da fonte enquanto as crianças cantavam na praça.",
+    "Låssmeden vilade nära fontänen medan barnen sjöng på torget i regnet.", "Ślusarz odpoczywał przy fontannie, a dzieci śpiewały na placu.", "鍵屋は噴水の近くで休み、子供たちは雨の中で歌った。", "Слесарь отдыхал у фонтана, пока дети пели на площади.",
+    "Çilingir çeşmenin yanında dinlenirken çocuklar meydanda şarkı söylüyordu.", "Lukkoseppä lepäsi suihkulähteen luona lasten laulaessa torilla.", "锁匠在喷泉旁休息,孩子们在雨中唱歌。",
+]
+TASKS = [(SUMMARY, PASSAGE), (QUESTION, PASSAGE), (CORRECT, CANDIDATES)]
+
+
+def recall(replies, want):
+    return sum(B.defect(ask(*t), r) == want for t in TASKS for r in replies) / (len(TASKS) * len(replies))
+
+
+def test_held_out_refusals_and_languages():
+    assert recall(HELD_OUT_REFUSALS, "refusal") >= 0.9
+    assert recall(HELD_OUT_LANGUAGES, "wrong_language") >= 0.9
+
+
+def test_sound_replies_of_all_tasks():
+    for reply in ("The pilot crossed a meadow, and a miller counted sacks.", "Her cousin repaired the engine near the old mill.", "Nobody noticed the small boat beneath the bridge."):
+        assert B.defect(ask(SUMMARY, PASSAGE), reply) is None

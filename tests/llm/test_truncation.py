@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from hypomill.llm import truncation as P
 
 
@@ -12,7 +14,23 @@ def test_censored_fit_recovers_the_distribution():
         lengths[n] = lengths.get(n, 0) + 1
     mu, sigma = P.censored_lognormal(lengths, 160)
     assert abs(mu - 4.8) < 0.02 and abs(sigma - 0.35) < 0.02
-    assert P.find_limit(lengths)[0] == 160 and P.find_limit(lengths)[1] > 2
+    (n, odds, last), = P.find_limits(lengths)
+    assert (n, last) == (160, True) and odds > 2
+
+
+def test_two_limits_of_a_source():
+    """A field limit of 120 in older rows, and one of 160 in later ones."""
+    rng = random.Random(8)
+    lengths = {}
+    for k in range(20000):
+        n = min(120 if k % 3 == 0 else 160, max(1, round(math.exp(rng.gauss(4.8, 0.35)))))
+        lengths[n] = lengths.get(n, 0) + 1
+    found = P.find_limits(lengths)
+    assert [(n, last) for n, _, last in found] == [(160, True), (120, False)]
+    assert all(odds > 1 for _, odds, _ in found)
+    # one text copied over and over is no limit
+    lengths[90] += 3000
+    assert [n for n, _, _ in P.find_limits(lengths, {n: 1.0 if n == 90 else float(c) for n, c in lengths.items()})] == [160, 120]
 
 
 def test_no_limit_where_there_is_none():
@@ -21,16 +39,43 @@ def test_no_limit_where_there_is_none():
     for _ in range(5000):
         n = max(1, round(math.exp(rng.gauss(4.8, 0.35))))
         lengths[n] = lengths.get(n, 0) + 1
-    assert P.find_limit(lengths) == (None, P.TRANSFER_PRIOR)
-    assert P.find_limit({})[0] is None
-    assert P.find_limit({5: 1})[0] is None
+    assert P.find_limits(lengths) == [] and P.find_limits({}) == [] and P.find_limits({50: 1}) == []
 
 
 REF = "The miller counted forty sacks of flour near the old bridge before the lantern went out."
 
 
-def odds(text, flag=None, limit=None, limit_odds=3.5, mark=0.95, refs=(REF,)):
-    return P.ending_odds(text, list(refs), flag, limit, limit_odds, mark)
+def odds(text, flag=None, limit=None, mark=0.95, refs=(REF,)):
+    at_limit = limit is not None and len(text) >= limit
+    return (3.5 if at_limit else P.TRANSFER_PRIOR) + sum(P.WEIGHTS[f] for f in P.output_findings(text, list(refs), flag, at_limit, mark))
+
+
+def test_weights_are_fitted():
+    """A flag that is right more often than it was thought to be gains weight, one that says nothing loses it."""
+    rng = random.Random(9)
+
+    def patterns(told):
+        counts = {}
+        for _ in range(20000):
+            cut = rng.random() < 0.1
+            flag = "flag=yes" if rng.random() < told[cut] else "flag=no"
+            end = "end=unmarked 10" if cut or rng.random() < 0.05 else "end=marked"
+            rest = rng.choice(["rest=4", "rest=6", "rest=2 cut"]) if cut else "rest=same"
+            key = (flag, end, rest)
+            counts[key] = counts.get(key, 0) + 1
+        return [(k, None, n) for k, n in counts.items()]
+
+    base, sure = P.fitted_weights(patterns({True: 0.9, False: 0.01}))
+    _, vague = P.fitted_weights(patterns({True: 0.3, False: 0.3}))
+    assert sure["flag=yes"] > 3.8 and abs(vague["flag=yes"]) < 0.2
+    assert abs(base - math.log(0.1 / 0.9)) < 0.1
+    assert P.fitted_weights([]) == (P.TRANSFER_PRIOR, P.WEIGHTS)
+
+
+def test_style_is_that_of_the_whole_text(spark):
+    rows = [("ALL CAPITALS HERE 12",), ("A HEADING IN CAPITALS THAT IS LONGER THAN FORTY LETTERS AND then the text goes on",), ("Title case",), ("lower",), ("12",), ("OK",)]
+    got = [r.s for r in spark.createDataFrame(rows, "t string").select(P.style(F.col("t")).alias("s")).collect()]
+    assert got == ["upper", "title", "title", "lower", "lower", "title"]
 
 
 def test_endings():
@@ -86,9 +131,12 @@ def test_every_reference_of_an_id_counts(spark):
     outputs = [(k, "u", "s", m + " evening of that day in Ma", None, "c", "c") for k, m in enumerate(middle)] + [(9, "u", "s", middle[1], True, "c", "c"), (9, "u", "s", middle[1], True, "c", "c")]
     whole = [(20 + k, "u", "s", refs[k + 1].rstrip("."), True, "c", "c") for k in range(3)]
     o, e, m = tables(spark, outputs + whole, manifest=[("u", r, None) for r in refs * 2])
-    got = {(r.record_id, round(r.odds, 9)) for r in P.outputs_judged(o, m).collect()}
+    got = {(r.record_id, tuple(r.findings)) for r in P.output_rows(o, m).collect()}
     fit = {r.source: r for r in P.fit_sources(o.selectExpr("ec_system_id as source", "output_raw as text", "cast(null as long) as tokens")).collect()}["s"]
-    want = {(k, round(P.ending_odds(t, refs, flag, fit.char_limit, fit.limit_odds, fit.mark_title), 9)) for k, _, _, t, flag, _, _ in outputs + whole}
+    assert fit.limits == []
+    want = {(k, tuple(P.output_findings(t, refs, flag, False, fit.mark_title))) for k, _, _, t, flag, _, _ in outputs + whole}
     assert got == want
     assert P.outputs_judged(o, m).count() == len(outputs + whole)
-    assert all(P.ending_odds(t, [refs[0], refs[-1]], f, fit.char_limit, fit.limit_odds, fit.mark_title) > P.ending_odds(t, refs, f, fit.char_limit, fit.limit_odds, fit.mark_title) for _, _, _, t, f, _, _ in whole)
+    for _, _, _, t, f, _, _ in whole:
+        outer, all_ = (P.output_findings(t, r, f, False, fit.mark_title)[2] for r in ([refs[0], refs[-1]], refs))
+        assert P.WEIGHTS[outer] > P.WEIGHTS[all_]
