@@ -4,25 +4,42 @@ All items form one generalised suffix automaton over words. A document's words s
 it; wherever the longest match reaches SEED words, the automaton gives every item position of
 those words. Any run that counts (at least MIN_RUN item words, at most one word in EVERY
 altered, dropped or added) holds an exact stretch of SEED words, so no case is missed; an
-exact edit check around the seeds then decides, and gives the span to remove.
+exact edit check around the seeds then decides, and gives the span to remove. Where a seed
+stands in very many items (a stem they all begin with), the items are not opened one by one:
+the words around the seed are compared with the document's in one array, and only items that
+agree in enough of them are looked at.
+
+Automata are built in tasks, a block of items each. The corpus is read once, whatever the
+number of blocks: a task holds a batch of documents and takes one automaton after the other.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hypomill.runtime import materialize
 
 MIN_RUN = 12
 EVERY = 6
 #: 12 words with 2 edits leave 10 words in 3 pieces, so one has 4; longer runs leave more.
 SEED = 4
-#: Items are held in automata of at most so many words each; more items mean more automata,
-#: streamed one after another, never one of unbounded size.
+#: Items are held in automata of about so many words each; more items mean more automata,
+#: taken one after another, never one of unbounded size.
 BLOCK_WORDS = 500_000
+#: Items with a seed from which they are compared in one array.
+HOT = 64
+#: A run through an exact stretch of fewer than MIN_RUN words that holds a shorter one that counts has so many words at most.
+_FAR = 3 * MIN_RUN
 
 _word = re.compile(r"[^\W_]+")
 #: Marks that a layout puts between words: speaker labels, numbers of lines, cues and turns.
@@ -69,6 +86,13 @@ class SuffixAutomaton:
             if up >= 0:
                 self.below[up].append(s)
         self._known: dict[int, list[tuple[int, int]]] = {}
+        # all items behind each other, with room between them: flat[_start[k] + i] is word i of item k
+        size = np.array([len(x) for x in self.sequences], np.int64)
+        self._start = np.concatenate(([0], np.cumsum(size + _FAR)[:-1])) + _FAR if len(size) else size
+        self._flat = np.full(int((size + _FAR).sum()) + _FAR, -1, np.int32)
+        for at, x in zip(self._start, self.sequences):
+            self._flat[at : at + len(x)] = x
+        self._hot: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -110,6 +134,47 @@ class SuffixAutomaton:
             self._known[state] = found
         return self._known[state]
 
+    def agreeing(self, state: int, at: int, doc: np.ndarray) -> list[tuple[int, int]]:
+        """Of a hot state's occurrences (item, last word's position) those that can be part of a run that counts.
+
+        ``doc``: the document's words with _FAR + SIDE_EDITS words of room on both sides;
+        ``at``: the seed's last word in it. Judged at the first seed of an exact stretch: a
+        run of n item words through it agrees with the document in its first and last and in
+        n - n // EVERY of them, each at most SIDE_EDITS - 1 words off its place.
+        """
+        if state not in self._hot:
+            found = np.array(self.occurrences(state), np.int64)
+            self._hot[state] = found[:, 0], self._start[found[:, 0]] + found[:, 1]
+        items, base = self._hot[state]
+        first = np.flatnonzero(self._flat[base - SEED] != doc[at - SEED])
+        kept = []
+        most_off = SIDE_EDITS - 1
+        left, right = 2 * MIN_RUN - 1 - SEED, _FAR - 1 - SEED
+        offsets = np.arange(-left - SEED + 1, right + 1)
+        seed = (offsets > -SEED) & (offsets <= 0)
+        other = offsets[~seed]
+        near = doc[at + other[:, None] + np.arange(-most_off, most_off + 1)]
+        for i in range(0, len(first), 20_000):
+            part = first[i : i + 20_000]
+            words = self._flat[base[part][:, None] + other]
+            hits = words == near[:, 0]
+            for j in range(1, near.shape[1]):
+                hits |= words == near[:, j]
+            upto = np.zeros((len(part), len(offsets) + 1), np.int16)
+            agree = np.ones((len(part), len(offsets)), bool)
+            agree[:, ~seed] = hits
+            np.cumsum(agree, 1, out=upto[:, 1:])
+            fine = np.zeros(len(part), bool)
+            last = left + SEED - 1  # the column of the seed's last word
+            for n in range(MIN_RUN, _FAR):
+                begin = range(max(0, last - n + 1), min(left, len(offsets) - n) + 1)
+                if len(begin):
+                    here = slice(begin.start, begin.stop)
+                    enough = upto[:, begin.start + n : begin.stop + n] - upto[:, here] >= n - n // EVERY
+                    fine |= (enough & agree[:, here] & agree[:, begin.start + n - 1 : begin.stop + n - 1]).any(1)
+            kept += [(int(items[k]), int(base[k] - self._start[items[k]])) for k in part[fine]]
+        return kept
+
     def seeds(self, words: list[int | None]) -> list[tuple[int, int]]:
         """(document position, state of the SEED words ending there) along one document."""
         step, link, longest = self.step, self.link, self.longest
@@ -143,8 +208,16 @@ class SuffixAutomaton:
         """
         ids = [*map(self.vocabulary.get, words)]
         at_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        room = _FAR + SIDE_EDITS
+        doc = None
         for at, state in self.seeds(ids):
-            for k, end in self.occurrences(state):
+            found = self.occurrences(state)
+            if len(found) > HOT:
+                if doc is None:
+                    doc = np.full(len(ids) + 2 * room, -2, np.int32)
+                    doc[room : room + len(ids)] = [-2 if w is None else w for w in ids]
+                found = self.agreeing(state, at + room, doc)
+            for k, end in found:
                 at_item[k].append((end, at))
         found = {}
         for k, pairs in at_item.items():
@@ -233,45 +306,79 @@ def _widen(item: list[int], doc: list[int | None], i: int, d: int, way: int, mos
     return best
 
 
-def automata(items: DataFrame) -> list[SuffixAutomaton]:
-    """Automata of all items with at least MIN_RUN words; the items are the stated small query set."""
-    blocks, block, size = [], [], 0
-    for row in items.select("item_id", "text").toLocalIterator():
-        ws = words_of(row.text)
-        if len(ws) < MIN_RUN:
-            continue
-        if block and size + len(ws) > BLOCK_WORDS:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((row.item_id, ws))
-        size += len(ws)
-    return [SuffixAutomaton(b) for b in [*blocks, *([block] if block else [])]]
+def blocks(items: DataFrame) -> DataFrame:
+    """(block, automaton): pickled automata of all items with at least MIN_RUN words, each built in a task; written."""
+    size = items.select(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first().n
+    count = max(1, -(-size // BLOCK_WORDS))
+    block = F.pmod(F.xxhash64("item_id"), F.lit(count)).cast("int").alias("block")
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted((int(i), words_of(t)) for i, t in zip(frame["item_id"], frame["text"]))
+        automaton = SuffixAutomaton([(i, ws) for i, ws in rows if len(ws) >= MIN_RUN])
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "automaton": [pickle.dumps(automaton, pickle.HIGHEST_PROTOCOL)]})
+
+    known = items.where("text is not null and item_id is not null").select("item_id", "text", block)
+    return materialize(known.groupBy("block").applyInPandas(build, "block int, automaton binary"), "p8-automata")
+
+
+class Shared:
+    """Automata on their way to the executors. A worker has one of them open at a time."""
+
+    def __init__(self, sent: list) -> None:
+        self.sent = sent
+        self.open: tuple[int, SuffixAutomaton] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "open": None}
+
+    def __iter__(self) -> Iterator[SuffixAutomaton]:
+        for i, broadcast in enumerate(self.sent):
+            if self.open is None or self.open[0] != i:
+                self.open = None
+                self.open = i, pickle.loads(broadcast.value)
+                if len(self.sent) > 1:
+                    del broadcast._value  # read again from the executor's disk when its turn comes
+            yield self.open[1]
+
+
+def shared(items: DataFrame) -> Shared:
+    """Send the blocks' automata out, one after the other through the driver, each bounded by its block's words."""
+    sc = items.sparkSession.sparkContext
+    return Shared([sc.broadcast(bytes(r.automaton)) for r in blocks(items).toLocalIterator()])
+
+
+#: Bytes of text that a task holds in words at a time.
+SLICE_BYTES = 8_000_000
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) in pieces of about SLICE_BYTES, a document whole."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, SLICE_BYTES + (size[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _scanned(documents: DataFrame, items: DataFrame, whole: bool) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word): every passage, or a part of one passage of each item."""
-    spark = documents.sparkSession
-    result = None
-    for automaton in automata(items) or [SuffixAutomaton([])]:
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                out: list[list[int]] = [[], [], [], []]
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        if text:
-                            for k, runs in own.passages(words_of(text), whole).items():
-                                for a, b in runs:
-                                    for column, v in zip(out, (doc, own.ids[k], a, b)):
-                                        column.append(v)
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["doc_id", "item_id", "first_word", "last_word"])
-
-        part = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, first_word long, last_word long")
-        result = part if result is None else result.unionByName(part)
-    return result
+    """(doc_id, item_id, first_word, last_word): every passage, or a part of one passage of each item. One pass over the documents."""
+    automata = shared(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            docs = [(d, words_of(t)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
+            out: list[list[int]] = [[], [], [], []]
+            for automaton in automata:
+                for doc, words in docs:
+                    for k, runs in automaton.passages(words, whole).items():
+                        for a, b in runs:
+                            for column, v in zip(out, (doc, automaton.ids[k], a, b)):
+                                column.append(v)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["doc_id", "item_id", "first_word", "last_word"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, first_word long, last_word long")
 
 
 def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -303,24 +410,22 @@ def word_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [_spelled.get(m[0], m[0]) for m in found], [m.span() for m in found]
 
 
-def without_passages(text: str, automata_: list[SuffixAutomaton]) -> tuple[str, int, int]:
-    """A text without any passage of an item: (text, its words, words taken out).
+def take_out(left: list[str], automaton: SuffixAutomaton) -> None:
+    """Replace the words of all passages of an automaton's items by GONE, passage by passage, until none is found."""
+    while found := automaton.passages(left):
+        for runs in found.values():
+            for first, last in runs:
+                left[first : last + 1] = [GONE] * (last + 1 - first)
 
-    Passages are taken out whole, until none is found, so a document may hold any
-    number of them. What stands between the taken words goes with them; the rest stays as it was.
-    """
-    words, places = word_places(text)
-    gone = [False] * len(words)
-    left = [w for w in words]
-    for automaton in automata_:
-        while True:
-            found = automaton.passages(left)
-            if not found:
-                break
-            for runs in found.values():
-                for first, last in runs:
-                    for i in range(first, last + 1):
-                        gone[i], left[i] = True, "\x00"
+
+#: Stands for a word that was taken out; no text has it.
+GONE = "\x00"
+
+
+def rest_of(text: str, left: list[str], places: list[tuple[int, int]]) -> str:
+    """A text without its words that are GONE. What stands between taken words goes with them; the rest stays as it was."""
+    gone = [w == GONE for w in left]
+    words = left
     kept, at, i = [], 0, 0
     while i < len(words):
         if gone[i]:
@@ -332,7 +437,15 @@ def without_passages(text: str, automata_: list[SuffixAutomaton]) -> tuple[str,
             i = j
         i += 1
     kept.append(text[at:])
-    return "".join(kept), len(words), sum(gone)
+    return "".join(kept)
+
+
+def without_passages(text: str, automata_: Iterable[SuffixAutomaton]) -> tuple[str, int, int]:
+    """A text without any passage of an item: (text, its words, words taken out)."""
+    words, places = word_places(text)
+    for automaton in automata_:
+        take_out(words, automaton)
+    return rest_of(text, words, places), len(words), words.count(GONE)
 
 
 def cleaned(documents: DataFrame, items: DataFrame, most: float = MOST_LEAKED) -> DataFrame:
@@ -341,16 +454,17 @@ def cleaned(documents: DataFrame, items: DataFrame, most: float = MOST_LEAKED) -
     Where more than ``most`` of the words are in passages the text is null. Null and empty
     texts stay as they are.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(automata(items))
+    automata = shared(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [without_passages(t, shared.value) if t else (t, 0, 0) for t in part.column(1).to_pylist()]
-                texts = [None if n and k > most * n else t for t, n, k in rows]
-                yield pa.record_batch(
-                    [part.column(0), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([k for _, _, k in rows], pa.int64()), pa.array(texts, pa.string())],
-                    names=["doc_id", "words", "leaked_words", "text"])
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            split = [word_places(t) if t else ([], []) for t in texts]
+            for automaton in automata:
+                for words, _ in split:
+                    take_out(words, automaton)
+            n, gone = [len(w) for w, _ in split], [w.count(GONE) for w, _ in split]
+            left = [t if not k else None if k > most * m else rest_of(t, w, p) for t, (w, p), m, k in zip(texts, split, n, gone)]
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "words", "leaked_words", "text"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, words long, leaked_words long, text string")

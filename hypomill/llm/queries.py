@@ -38,8 +38,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "data_manifest")
-    return split_overlap.report(m, split_overlap.overlaps(m))
+    return split_overlap.overlap_counts(table(spark, d, "data_manifest"))
+
+
+def p4_row_links(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.row_links(table(spark, d, "data_manifest"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +80,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_ranking, p2_found, p2_defect_counts, p3_found, p3_cut_rates, p4_found, p4_overlap_counts, p5_found,
+        p1_ranking, p2_found, p2_defect_counts, p3_found, p3_cut_rates, p4_found, p4_overlap_counts, p4_row_links, p5_found,
         p5_distinct_hypotheses, p7_packed, p8_found, p8_spans, p8_cleaned, p9_found, p9_statistics,
     )
 }

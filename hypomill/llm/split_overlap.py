@@ -5,8 +5,8 @@ Distinct normalised texts become classes; minwise hashes of each class's word-pa
 that an evaluation and a training class share give a candidate. Each candidate is verified by the exact Jaccard similarity of the shingles
 (a bound that follows from the allowed edits) and then by the exact edit distance in words.
 Word pairs are the shingle because the shortest admitted texts have 8 words: five-word
-shingles would leave nothing in common after one edit. Class pairs are expanded to rows at
-the end, because the result is defined on rows.
+shingles would leave nothing in common after one edit. Counts and links per row come from
+class sizes; only ``overlaps`` expands class pairs, because its result is defined on rows.
 """
 
 from __future__ import annotations
@@ -189,36 +189,42 @@ def near_classes(classes: DataFrame) -> DataFrame:
     )
 
 
+class Overlap:
+    """Both sides of a manifest as classes of equal text: membership, and links between classes.
+
+    Nothing here grows with the copies of a text: a text copied a million times is one class,
+    and its links are one row each.
+    """
+
+    def __init__(self, manifest: DataFrame) -> None:
+        self.rows = manifest.select(
+            "row_id", "utt_id", "dataset", F.regexp_replace(F.lower(F.trim("split")), "_", "-").alias("split"), is_training(F.col("split")).alias("train"),
+            words(F.col("reference_normalized")).alias("words"))
+        long = self.rows.where(F.size(F.split("words", " ")) >= MIN_WORDS).withColumn("digest", F.unhex(F.md5("words")))
+        classes = materialize(
+            long.groupBy("digest", "words").agg(
+                F.min("row_id").alias("class_id"), F.max("train").alias("has_train"), F.max(~F.col("train")).alias("has_eval")),
+            "p4-classes",
+        )
+        #: (row_id, utt_id, dataset, split, train, class_id) of every row with a text of MIN_WORDS words.
+        self.members = materialize(
+            long.drop("class_id").join(classes.select("digest", "words", "class_id"), ["digest", "words"]).select("row_id", "utt_id", "dataset", "split", "train", "class_id"), "p4-members")
+        same = classes.where("has_train and has_eval").select(F.col("class_id").alias("eval_class"), F.col("class_id").alias("train_class"))
+        #: (eval_class, train_class): equal and near classes across the split.
+        self.links = materialize(near_classes(classes).unionByName(same), "p4-links")
+
+
 def overlaps(manifest: DataFrame) -> DataFrame:
     """(row_a, row_b), row_a < row_b: every cross-split pair by utterance id or by near-same text.
 
     Null or empty references match nothing, texts under MIN_WORDS words match by id only, a
     null split counts as not training. Repeated rows count singly; every pair appears once.
     """
-    rows = manifest.select(
-        "row_id", "utt_id", is_training(F.col("split")).alias("train"), words(F.col("reference_normalized")).alias("words")
-    )
-    by_id = _across(rows.where("utt_id is not null").select("row_id", "train", F.col("utt_id").alias("key")))
-
-    long = rows.where(F.size(F.split("words", " ")) >= MIN_WORDS).withColumn("digest", F.unhex(F.md5("words")))
-    classes = materialize(
-        long.groupBy("digest", "words").agg(
-            F.min("row_id").alias("class_id"), F.max("train").alias("has_train"), F.max(~F.col("train")).alias("has_eval")
-        ),
-        "p4-classes",
-    )
-    same = classes.where("has_train and has_eval").select(F.col("class_id").alias("eval_class"), F.col("class_id").alias("train_class"))
-    pairs = near_classes(classes).unionByName(same)
-    key = classes.select("class_id", "digest", "words")
-    keyed = (
-        pairs.join(key.toDF("eval_class", "ed", "ew"), "eval_class")
-        .join(key.toDF("train_class", "td", "tw"), "train_class")
-        .select("ed", "ew", "td", "tw")
-    )
-    member = long.select("row_id", "train", "digest", "words")
+    o = Overlap(manifest)
+    by_id = _across(o.rows.where("utt_id is not null").select("row_id", "train", F.col("utt_id").alias("key")))
     by_text = (
-        keyed.join(member.where("not train").select(F.col("digest").alias("ed"), F.col("words").alias("ew"), F.col("row_id").alias("e")), ["ed", "ew"])
-        .join(member.where("train").select(F.col("digest").alias("td"), F.col("words").alias("tw"), F.col("row_id").alias("t")), ["td", "tw"])
+        o.links.join(o.members.where("not train").select(F.col("class_id").alias("eval_class"), F.col("row_id").alias("e")), "eval_class")
+        .join(o.members.where("train").select(F.col("class_id").alias("train_class"), F.col("row_id").alias("t")), "train_class")
         .select(F.least("e", "t").alias("row_a"), F.greatest("e", "t").alias("row_b"))
     )
     return by_id.unionByName(by_text).distinct()
@@ -231,16 +237,43 @@ def _across(keyed: DataFrame) -> DataFrame:
     return e.join(t, "key").select(F.least("e", "t").alias("row_a"), F.greatest("e", "t").alias("row_b"))
 
 
-def report(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs and distinct evaluation rows per split and dataset of the evaluation row.
+def row_links(manifest: DataFrame) -> DataFrame:
+    """(row_id, class_id, links) of every row with a text of MIN_WORDS words: the class of its text (its
+    smallest row_id) and how many rows across the split have nearly the same text. No pair is expanded."""
+    o = Overlap(manifest)
+    sizes = o.members.groupBy("class_id").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e"))
+    facing = o.links.join(sizes.select(F.col("class_id").alias("train_class"), "t"), "train_class").join(sizes.select(F.col("class_id").alias("eval_class"), "e"), "eval_class")
+    per = facing.select(F.inline(F.array(
+        F.struct(F.col("eval_class").alias("class_id"), F.lit(False).alias("train"), F.col("t").alias("n")), F.struct(F.col("train_class").alias("class_id"), F.lit(True).alias("train"), F.col("e").alias("n")))))
+    links = per.groupBy("class_id", "train").agg(F.sum("n").alias("links"))
+    return o.members.join(links, ["class_id", "train"], "left").select("row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
 
-    Spellings of one split (case, '_' for '-') count together.
+def overlap_counts(manifest: DataFrame) -> DataFrame:
+    """(dataset, split, pairs, rows) of evaluation rows: their pairs with training rows, and how many have one.
+
+    Spellings of one split (case, '_' for '-') count together. Pairs are counted from class
+    sizes and never expanded: those by text, plus those by id, less those by both.
     """
-    side = manifest.select(
-        "row_id", "dataset", F.regexp_replace(F.lower(F.trim("split")), "_", "-").alias("split"), is_training(F.col("split")).alias("train")
-    ).where("not train").drop("train")
-    both = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id"), "row_a", "row_b")
-    return (
-        both.join(side, "row_id").groupBy("dataset", "split")
-        .agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("row_id").alias("rows"))
+    o = Overlap(manifest)
+    where = ["dataset", "split"]
+    n = F.count(F.lit(1))
+    train, evaluation = o.members.where("train"), o.members.where("not train")
+    linked = o.links.join(train.groupBy(F.col("class_id").alias("train_class")).agg(n.alias("t")), "train_class")
+    by_text = (
+        linked.groupBy("eval_class").agg(F.sum("t").alias("t"))
+        .join(evaluation.groupBy(F.col("class_id").alias("eval_class"), *where).agg(n.alias("e")), "eval_class").select(*where, (F.col("e") * F.col("t")).alias("pairs"))
     )
+    known = o.rows.where("utt_id is not null")
+    ids = known.where("train").groupBy("utt_id").agg(n.alias("t"))
+    by_id = known.where("not train").groupBy("utt_id", *where).agg(n.alias("e")).join(ids, "utt_id").select(*where, (F.col("e") * F.col("t")).alias("pairs"))
+    e_side = evaluation.where("utt_id is not null").groupBy("utt_id", F.col("class_id").alias("eval_class"), *where).agg(n.alias("e"))
+    t_side = train.where("utt_id is not null").groupBy("utt_id", F.col("class_id").alias("train_class")).agg(n.alias("t"))
+    by_both = e_side.join(o.links, "eval_class").join(t_side, ["utt_id", "train_class"]).select(*where, (-F.col("e") * F.col("t")).alias("pairs"))
+    pairs = by_text.unionByName(by_id).unionByName(by_both).groupBy(*where).agg(F.sum("pairs").alias("pairs"))
+    # rows with any partner
+    has_text = evaluation.join(o.links.select(F.col("eval_class").alias("class_id")).distinct(), "class_id", "left_semi").select("row_id", *where)
+    has_id = known.where("not train").join(ids, "utt_id", "left_semi").select("row_id", *where)
+    rows = has_text.unionByName(has_id).groupBy(*where).agg(F.countDistinct("row_id").alias("rows"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in where]
+    return pairs.alias("p").join(rows.alias("r"), same[0] & same[1]).select("p.dataset", "p.split", "pairs", "rows")

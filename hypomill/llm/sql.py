@@ -87,6 +87,11 @@ SQL: dict[str, str] = {
     "p4_overlap_counts": f"""with recursive {_NEAR}
 select dataset, replace(lower(trim(split)), '_', '-') as split, count(*) as pairs, count(distinct row_id) as rows
 from (select unnest([row_a, row_b]) as row_id from pairs) join rows using (row_id) where not train group by all""",
+    "p4_row_links": f"""with recursive {_NEAR},
+counted as (select t, count(*) filter (train) as nt, count(*) filter (not train) as ne, min(row_id) as class_id from rows group by t),
+facing as (select rf as t, false as train, c.nt as n from near join counted c on c.t = hy union all select hy, true, c.ne from near join counted c on c.t = rf)
+select r.row_id, any_value(c.class_id) as class_id, cast(coalesce(sum(f.n), 0) as bigint) as links
+from rows r join counted c using (t) left join facing f on f.t = r.t and f.train = r.train where len(string_split(r.t, ' ')) >= {split_overlap.MIN_WORDS} group by 1""",
     "p1_ranking": _RANKING,
     "p5_found": f"with {_LINES} select first_line_id, line_id from hashed where first_line_id < line_id",
     "p5_distinct_hypotheses": f"with {_LINES} select distinct first_line_id as line_id, copies from hashed",

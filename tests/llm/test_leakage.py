@@ -165,3 +165,37 @@ def test_every_passage_has_a_row(spark):
     items = spark.createDataFrame([(7, PASSAGE)], "item_id bigint, text string")
     assert sorted((r.first_word, r.last_word) for r in L.spans(docs, items).collect()) == [(0, 15), (32, 47)]
     assert L.found(docs, items).count() == 1
+
+
+def test_a_stem_of_all_items_changes_nothing():
+    """Items that share a stem are compared in one array; the result is that of opening each one."""
+    stem = text(9)
+    items = [(k, [*stem[: RNG.randint(4, 9)], *text(RNG.randint(8, 25))]) for k in range(150)] + [(500 + k, [*text(6), *stem, *text(6)]) for k in range(150)]
+    docs = []
+    for _ in range(60):
+        own = RNG.choice(items)[1]
+        a = RNG.randrange(0, 6)
+        part = own[a : a + RNG.randint(10, 30)]
+        docs.append(text(RNG.randint(0, 8)) + (noisy(part, RNG.randint(0, 3)) if len(part) > 4 else part) + text(RNG.randint(0, 8)) + stem + text(3))
+    old = L.HOT
+    try:
+        L.HOT = 10**9
+        want = [L.SuffixAutomaton(items).passages(d, w) for d in docs for w in (True, False)]
+        L.HOT = 8
+        got = [L.SuffixAutomaton(items).passages(d, w) for d in docs for w in (True, False)]
+    finally:
+        L.HOT = old
+    assert [set(x) for x in got] == [set(x) for x in want] and sum(map(len, want)) > 50
+    assert got[::2] == want[::2]
+
+
+def test_slices_lose_nothing():
+    import pyarrow as pa
+
+    old, L.SLICE_BYTES = L.SLICE_BYTES, 10
+    try:
+        batch = pa.record_batch([pa.array(range(6)), pa.array(["a" * 8, None, "b" * 30, "", "c", "d" * 9])], names=["id", "text"])
+        pieces = list(L.slices([batch, batch.slice(0, 0)]))
+    finally:
+        L.SLICE_BYTES = old
+    assert [x for p in pieces for x in p.column(0).to_pylist()] == list(range(6)) and len(pieces) > 2

@@ -54,6 +54,19 @@ def test_equals_brute_force(spark):
     got = {(r.row_a, r.row_b) for r in S.overlaps(manifest(spark, rows)).collect()}
     assert got <= want
     assert len(got) >= 0.99 * len(want) and len(want) > 100
+    # counts from classes are those of the expanded pairs
+    split = {k: None if s is None else s.lower().replace("_", "-") for k, (_, s, _) in enumerate(rows)}
+    side = {k: (s or "").startswith("train") for k, s in split.items()}
+    pairs, having = {}, {}
+    for pair in got:
+        e = next(k for k in pair if not side[k])
+        pairs[split[e]] = pairs.get(split[e], 0) + 1
+        having.setdefault(split[e], set()).add(e)
+    counts = {r.split: (r.pairs, r.rows) for r in S.overlap_counts(manifest(spark, rows)).collect()}
+    assert counts == {k: (n, len(having[k])) for k, n in pairs.items()}
+    by_text = {(a, b) for a, b in got if rows[a][2] and rows[b][2] and distance(rows[a][2].lower().strip(".").split(), rows[b][2].lower().strip(".").split()) * 100 <= 15 * max(len(rows[a][2].split()), len(rows[b][2].split())) and min(len(rows[a][2].split()), len(rows[b][2].split())) >= 8}
+    links = {r.row_id: r.links for r in S.row_links(manifest(spark, rows)).collect()}
+    assert {k: n for k, n in links.items() if n} == {k: sum(k in p for p in by_text) for k in {x for p in by_text for x in p}}
 
 
 def test_copies_and_popular_texts(spark):
@@ -61,12 +74,14 @@ def test_copies_and_popular_texts(spark):
     rows = [(None, "train", text)] * 30 + [(None, "dev", text.upper() + "!")] * 20 + [(None, "dev", "short phrase")] * 5 + [(None, "train", "short phrase")] * 5
     df = S.overlaps(manifest(spark, rows))
     assert df.columns == ["row_a", "row_b"] and df.count() == 600
-    report = S.report(manifest(spark, rows), df).first()
+    report = S.overlap_counts(manifest(spark, rows)).first()
     assert (report.dataset, report.split, report.pairs, report.rows) == ("d", "dev", 600, 20)
+    assert {(r.class_id, r.links) for r in S.row_links(manifest(spark, rows)).collect()} == {(0, 20), (0, 30)}
 
 
 def test_empty_and_long(spark):
-    assert S.overlaps(manifest(spark, [("u", "train", "x")]).where("false")).count() == 0
+    none = manifest(spark, [("u", "train", "x")]).where("false")
+    assert S.overlaps(none).count() == S.overlap_counts(none).count() == S.row_links(none).count() == 0
     long = " ".join(f"w{k}" for k in range(3000))
     rows = [(None, "train", long), (None, "dev", long.replace("w7 ", "x ")), (None, "dev", long[:9000])]
     assert [(r.row_a, r.row_b) for r in S.overlaps(manifest(spark, rows)).collect()] == [(0, 1)]
