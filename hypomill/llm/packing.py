@@ -190,13 +190,14 @@ def pack(sizes: DataFrame, kinds: list[tuple[str, int]], most_open: int = OPEN)
         windows = merged.where("open").groupBy("bin_name", F.col("target").alias("window")).agg(F.first("used").alias("used"))
         count = windows.count()
         round_no += 1
-    base = packed.select("bin_name", "doc_id", "piece", "first_token", "tokens", "window", "window_tokens")
+    columns = ["bin_name", "doc_id", "piece", "first_token", "tokens"]
+    closed = packed.where("not open") if moves is not None else packed
+    closed = closed.select(*columns, F.col("window").alias("container"), F.col("window_tokens").alias("container_tokens"))
     if moves is None:
-        return base.withColumnsRenamed({"window": "container", "window_tokens": "container_tokens"})
-    return base.join(moves, "window", "left").select(
-        "bin_name", "doc_id", "piece", "first_token", "tokens",
-        F.coalesce("target", "window").alias("container"), F.coalesce("target_tokens", "window_tokens").alias("container_tokens"),
-    )
+        return closed
+    # only windows that were left open can have moved
+    met = packed.where("open").join(moves, "window", "left")
+    return closed.unionByName(met.select(*columns, F.coalesce("target", "window").alias("container"), F.coalesce("target_tokens", "window_tokens").alias("container_tokens")))
 
 
 def kinds_of(limits: DataFrame) -> list[tuple[str, int]]:
