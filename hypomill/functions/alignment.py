@@ -2,7 +2,7 @@
 
 Levenshtein distance with unit costs. Of equally cheap paths the one counts that, read from the
 end, prefers a match, then substitution, then deletion, then insertion; carrying the counts
-forward under the same preference gives the same numbers as a backtrace, with two rows.
+forward under the same preference gives the same numbers as a backtrace, with three diagonals.
 """
 
 from __future__ import annotations
@@ -16,15 +16,22 @@ from pyspark.sql import functions as F
 
 from hypomill.schemas import EDIT_COUNTS, EDIT_OPERATIONS
 
-# cost, substitutions, deletions and insertions share one integer: comparing it shifted compares costs
+# the native form keeps cost, substitutions, deletions and insertions in one integer: comparing it shifted compares costs
 _SUB, _DEL, _INS, _COST = 1 << 32, 1 << 16, 1, 1 << 48
 _STEP_SUB, _STEP_DEL, _STEP_INS = _COST | _SUB, _COST | _DEL, _COST | _INS
-#: Cells of one column of the batched table.
-_CELLS = 2_000_000
+#: Cells of one anti-diagonal of the batched table: as much as stays in a core's cache.
+_CELLS = 100_000
+#: Tokens of a pair up to which a cell fits into 32 bits.
+_NARROW = 2_000
 
 
 def _batch_counts(refs: list[Sequence], hyps: list[Sequence]) -> np.ndarray:
-    """(pairs, 3): substitutions, deletions, insertions. All pairs of a batch advance together."""
+    """(pairs, 3): substitutions, deletions, insertions.
+
+    All pairs of a batch advance together, an anti-diagonal of their tables at a time, whose
+    cells do not depend on each other. A cell holds cost and substitutions; deletions and
+    insertions follow from them and the lengths.
+    """
     ids: dict = {}
     n = np.array([len(r) for r in refs], np.int64)
     m = np.array([len(h) for h in hyps], np.int64)
@@ -32,40 +39,64 @@ def _batch_counts(refs: list[Sequence], hyps: list[Sequence]) -> np.ndarray:
     order = np.lexsort((m, n))
     at = 0
     while at < len(order):
-        longest = max(1, int(n[order[at:]].max(initial=0)))
-        size = max(1, _CELLS // max(1, int(m[order[at:]].max(initial=0)) + 1 + longest))
         # neighbours in length share a table, so little of it is padding
-        take = order[at : at + min(size, 4096)]
+        longest = int(n[order[min(at + 64, len(order)) - 1]]) + 1
+        take = order[at : at + max(1, _CELLS // longest)]
         at += len(take)
-        rows, cols = int(n[take].max(initial=0)), int(m[take].max(initial=0))
-        ref = np.full((rows, len(take)), -1, np.int64)
-        hyp = np.full((cols, len(take)), -2, np.int64)
-        for k, p in enumerate(take):
-            for i, t in enumerate(refs[p]):
-                ref[i, k] = ids.setdefault(t, len(ids))
-            for j, t in enumerate(hyps[p]):
-                hyp[j, k] = ids.setdefault(t, len(ids))
-        table = np.empty((cols + 1, len(take)), np.int64)
-        table[:] = (np.arange(cols + 1, dtype=np.int64) * _STEP_INS)[:, None]
-        nt, mt, each = n[take], m[take], np.arange(len(take))
-        last = table[mt, each].copy()  # pairs without reference tokens
-        for i in range(rows):
-            diagonal = table[0].copy()
-            table[0] += _STEP_DEL
-            for j in range(cols):
-                up, left = table[j + 1], table[j]
-                cd, cu, cl = diagonal >> 48, up >> 48, left >> 48
-                best = np.where((cd <= cu) & (cd <= cl), diagonal + _STEP_SUB, np.where(cu <= cl, up + _STEP_DEL, left + _STEP_INS))
-                best = np.where(ref[i] == hyp[j], diagonal, best)
-                diagonal = up.copy()
-                table[j + 1] = best
-            done = nt == i + 1
-            if done.any():
-                last[done] = table[mt[done], each[done]]
-        out[take, 0], out[take, 1], out[take, 2] = last >> 32 & 0xFFFF, last >> 16 & 0xFFFF, last & 0xFFFF
+        cost, substitutions = _tables([refs[k] for k in take], [hyps[k] for k in take], n[take], m[take], ids)
+        deletions = (cost - substitutions - (m[take] - n[take])) // 2
+        out[take, 0], out[take, 1], out[take, 2] = substitutions, deletions, cost - substitutions - deletions
     return out
 
 
+def _tables(refs: list[Sequence], hyps: list[Sequence], n: np.ndarray, m: np.ndarray, ids: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, substitutions) in the last cell of each pair's table."""
+    rows, cols, pairs = int(n.max(initial=0)), int(m.max(initial=0)), len(refs)
+    kind, low = (np.int32, 12) if rows + cols < _NARROW else (np.int64, 30)
+    # cost, then the way the cell was reached (substitution before deletion before insertion), then substitutions: the least is the one preferred
+    step = 1 << low + 2
+    substitution, deletion, insertion = kind(step | 1), kind(step | 1 << low), kind(step | 2 << low)
+    clear = kind(~(3 << low))
+    ref = np.full((rows, pairs), -1, np.int32)
+    backwards = np.full((cols, pairs), -2, np.int32)  # word j stands at cols - 1 - j
+    for k, (r, h) in enumerate(zip(refs, hyps)):
+        ref[: len(r), k] = [ids.setdefault(t, len(ids)) for t in r]
+        if len(h):
+            backwards[cols - len(h) :, k] = [ids.setdefault(t, len(ids)) for t in reversed(h)]
+    by_end: dict[int, list[int]] = {}
+    for k, end in enumerate((n + m).tolist()):
+        by_end.setdefault(end, []).append(k)
+    result = np.zeros(pairs, np.int64)
+    # cell (i, d - i) of diagonal d stands in row i
+    two, one, new = (np.zeros((rows + 1, pairs), kind) for _ in range(3))
+    for d in range(1, rows + cols + 1):
+        a, b = max(1, d - cols), min(rows, d - 1)
+        if a <= b:
+            diagonal, cells = two[a - 1 : b], new[a : b + 1]
+            np.minimum(one[a - 1 : b] + deletion, one[a : b + 1] + insertion, out=cells)
+            np.minimum(cells, diagonal + substitution, out=cells)
+            np.bitwise_and(cells, clear, out=cells)
+            first = cols - d + a  # word d - a - 1 of the hypothesis, then the ones before it
+            np.copyto(cells, diagonal, where=ref[a - 1 : b] == backwards[first : first + b - a + 1])
+        if d <= cols:
+            new[0] = d * step
+        if d <= rows:
+            new[d] = d * step
+        if d in by_end:
+            k = np.array(by_end[d])
+            result[k] = new[n[k], k]
+        two, one, new = one, new, two
+    return result >> low + 2, result & (1 << low) - 1
+
+
+def _without_common_end(ref: Sequence, hyp: Sequence) -> tuple[Sequence, Sequence]:
+    """Both without the tokens that they end in alike: read from the end, a match is always taken."""
+    k, most = 0, min(len(ref), len(hyp))
+    while k < most and ref[-1 - k] == hyp[-1 - k]:
+        k += 1
+    return ref[: len(ref) - k], hyp[: len(hyp) - k]
+
+
 def _plain_counts(ref: Sequence, hyp: Sequence) -> tuple[int, int, int]:
     """One pair with counts of any size, for texts of tens of thousands of tokens."""
     last = [(j, 0, 0, j) for j in range(len(hyp) + 1)]
@@ -89,11 +120,18 @@ def counts_of(refs: list[Sequence], hyps: list[Sequence]) -> np.ndarray:
     """(pairs, 4): substitutions, deletions, insertions and reference tokens."""
     out = np.zeros((len(refs), 4), np.int64)
     out[:, 3] = [len(r) for r in refs]
-    small = [k for k in range(len(refs)) if len(refs[k]) + len(hyps[k]) < 30_000]
+    rest = [_without_common_end(r, h) for r, h in zip(refs, hyps)]
+    # of what is left, one empty side needs no table
+    small = []
+    for k, (r, h) in enumerate(rest):
+        if not len(r) or not len(h):
+            out[k, 1], out[k, 2] = len(r), len(h)
+        elif len(r) + len(h) < 30_000:
+            small.append(k)
+        else:
+            out[k, :3] = _plain_counts(r, h)
     if small:
-        out[small, :3] = _batch_counts([refs[k] for k in small], [hyps[k] for k in small])
-    for k in set(range(len(refs))) - set(small):
-        out[k, :3] = _plain_counts(refs[k], hyps[k])
+        out[small, :3] = _batch_counts([rest[k][0] for k in small], [rest[k][1] for k in small])
     return out
 
 
@@ -165,7 +203,8 @@ def native_edits(ref: Column, hyp: Column) -> Column:
     """The same counts from two token arrays as one JVM expression, without Python.
 
     Slower than the Arrow form on long texts (lambdas are interpreted); kept to check it and
-    for sessions without Python workers.
+    for sessions without Python workers. Its counts have 16 bits each, so it raises an error for
+    texts of more than 65,535 tokens in all.
     """
     zero = F.lit(0).cast("long")
     indexes = F.when(F.size(hyp) > 0, F.sequence(F.lit(1), F.size(hyp))).otherwise(F.array().cast("array<int>"))
@@ -183,8 +222,9 @@ def native_edits(ref: Column, hyp: Column) -> Column:
 
         return F.aggregate(indexes, F.array(F.get(row, F.lit(0)) + F.lit(_STEP_DEL)), cell)
 
+    fits = F.when(F.size(ref) + F.size(hyp) > 0xFFFF, F.raise_error(F.lit("texts too long for 16-bit counts")).cast("bigint"))
     last = F.aggregate(ref, first, next_row)
-    end = F.element_at(last, -1)
+    end = F.coalesce(fits, F.element_at(last, -1))
 
     def part(shift: int) -> Column:
         return F.shiftright(end, shift).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int")
