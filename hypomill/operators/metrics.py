@@ -51,19 +51,18 @@ def relative_reduction_value(baseline_rate: float, system_rate: float) -> float
     return None if baseline_rate == 0 else (baseline_rate - system_rate) / baseline_rate * 100.0
 
 
-def correction_diagnostics(rows: DataFrame, reference: str, before: str, after: str, *keys: str) -> DataFrame:
-    """What a correction did, by equality of normalised texts. Rows with a null text are left out.
+def correction_diagnostics(rows: DataFrame, reference: str, before: str, after: str, *keys: str, also: list[Column] | None = None) -> DataFrame:
+    """What a correction did, by equality of normalised texts. Rows with a null text are no utterances.
 
     Right before and after, and wrong but unchanged, change no state.
     """
     r, b, a = (F.col(c) for c in (reference, before, after))
-    known = rows.where(r.isNotNull() & b.isNotNull() & a.isNotNull())
-    total = known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("utterances"),
-        F.count_if(b == a).alias("exact_copies"),
+    total = rows.groupBy(*keys).agg(
+        F.count_if(r.isNotNull() & b.isNotNull() & a.isNotNull()).alias("utterances"),
+        F.count_if((b == a) & r.isNotNull()).alias("exact_copies"),
         F.count_if((b == r) & (a != r)).alias("correct_to_wrong"),
         F.count_if((b != r) & (a == r)).alias("wrong_to_correct"),
-        F.count_if((b != r) & (a != r) & (b != a)).alias("wrong_to_other_wrong"),
+        F.count_if((b != r) & (a != r) & (b != a)).alias("wrong_to_other_wrong"), *(also or ()),
     )
     n = F.col("utterances")
     return total.withColumn("copy_rate", F.when(n > 0, F.col("exact_copies") / n).otherwise(F.lit(0.0)))

@@ -94,7 +94,21 @@ def correction_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "ec_outputs").select("output_id", "utt_id", "ec_system_id", conservative_english(F.col("output_raw")).alias("after"))
     first = nbest.candidates(_records(spark, d)).where("rank = 1 and utt_id is not null").groupBy("utt_id").agg(F.min_by(F.struct("reference", "text_raw"), "record_id").alias("b"))
     first = first.select("utt_id", conservative_english(F.col("b.reference")).alias("ref"), conservative_english(F.col("b.text_raw")).alias("before"))
-    return metrics.correction_diagnostics(o.join(first, "utt_id"), "ref", "before", "after", "ec_system_id")
+    # outputs of utterances that no record has are counted apart
+    rows = o.join(first, "utt_id", "left")
+    return metrics.correction_diagnostics(rows, "ref", "before", "after", "ec_system_id", also=[F.count_if(F.col("ref").isNull()).alias("without_record")])
+
+
+def output_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Length of corrected texts against references, empty ones and those flagged as truncated, per system."""
+    refs = table(spark, d, "data_manifest").where("utt_id is not null and reference_raw is not null").groupBy("utt_id").agg(F.min("reference_raw").alias("reference"))
+    rows = table(spark, d, "ec_outputs").select("utt_id", "ec_system_id", "truncated", "output_raw").join(refs, "utt_id", "left")
+    h = F.size(word_tokens(conservative_english(F.coalesce("output_raw", F.lit("")))))
+    r = F.size(word_tokens(conservative_english(F.col("reference"))))
+    total = rows.select("ec_system_id", "truncated", h.alias("h"), F.when(F.col("reference").isNotNull(), r).alias("r")).groupBy("ec_system_id").agg(
+        F.count(F.lit(1)).alias("outputs"), F.count_if(F.col("h") == 0).alias("empty"), F.count_if("truncated").alias("truncated"),
+        F.coalesce(F.sum(F.when(F.col("r").isNotNull(), F.col("h"))), F.lit(0)).alias("output_words"), F.coalesce(F.sum("r"), F.lit(0)).alias("reference_words"))
+    return total.withColumn("ratio", F.when(F.col("reference_words") > 0, F.col("output_words") / F.col("reference_words")))
 
 
 def werr_by_system(spark: SparkSession, d: str) -> DataFrame:
@@ -262,6 +276,12 @@ def request_hashes(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(requests.request_sha256(F.col("provider"), F.col("model_id"), F.col("messages"), F.col("generation_parameters")).alias("request")).agg(F.count(F.lit(1)).alias("exchanges"), F.min("exchange_id").alias("first_exchange"))
 
 
+def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """What each stored reply parses to: its status, and a candidate's rank or a transcript."""
+    parsed = requests.parse_reply(F.col("raw_response"), F.size("messages") > 0)
+    return table(spark, d, "llm_exchanges").select("exchange_id", parsed.alias("p")).select("exchange_id", "p.*")
+
+
 def unanswered_requests(spark: SparkSession, d: str) -> DataFrame:
     """Exchanges whose request no exchange with a reply answers: what a cache would still have to ask."""
     e = table(spark, d, "llm_exchanges").select("exchange_id", "request_hash", "raw_response")
@@ -368,10 +388,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, normalize_unicode, token_counts, canonical_metadata, alignment_counts, alignment_trace, wer_by_system, wer_corpus, cer_by_system,
-        line_wer_by_rank, correction_diagnostics, werr_by_system, oracle_selection, oracle_by_n, average_unique, cross_wer, nbest_evaluation, prefix_counts,
+        line_wer_by_rank, correction_diagnostics, output_lengths, werr_by_system, oracle_selection, oracle_by_n, average_unique, cross_wer, nbest_evaluation, prefix_counts,
         constrained_decode, lambda_curve, lambda_select, closest_projection, unconstrained_outputs, rank_by_length, rank_by_penalty, sequence_logprob,
         training_pairs, tagged_prompts, error_filter, length_ratio, combined_lists, win_loss, bootstrap_difference, bootstrap_interval, undecodable_lists, unrankable_beams,
-        utterance_violations, candidate_violations, short_lists, voted_texts, request_hashes, unanswered_requests, normalized_curve, output_violations, exchange_violations, manifest_violations, duplicate_ids, duplicate_audio, split_overlap, manifest_counts,
+        utterance_violations, candidate_violations, short_lists, voted_texts, request_hashes, parsed_replies, unanswered_requests, normalized_curve, output_violations, exchange_violations, manifest_violations, duplicate_ids, duplicate_audio, split_overlap, manifest_counts,
         rank_contiguity, score_coverage, normalizer_consensus, requested_n, parse_lines, missing_utterances, exchange_messages, request_cache,
         p6_found, p6_words, p6_logprobs, p6_word_links,
     )

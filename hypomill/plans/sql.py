@@ -87,7 +87,7 @@ cross_scored as (select c.*, substitutions, deletions, insertions, reference_tok
 
 def _count_rules(source: str, rules: dict[str, str]) -> str:
     each = " union all ".join(f"select '{name}' as violation, count(*) as rows from {source} where coalesce({bad}, true)" for name, bad in rules.items())
-    return f"select * from ({each}) where rows > 0"
+    return each
 
 
 def _blank(*names: str) -> str:
@@ -155,6 +155,22 @@ select record_id, cast(hyp_pos as int) as hyp_pos, count(*) as words, cast(sum(c
     "token_counts": f"""select dataset, count(*) as rows, cast(sum(len({words('t')})) as bigint) as words, cast(sum(len({chars('t')})) as bigint) as characters
         from (select dataset, {norm('reference_raw')} as t from data_manifest where reference_raw is not null) group by 1""",
     "alignment_counts": f"with recursive {scored()} select record_id, cast(rank as int) as rank, substitutions, deletions, insertions, reference_tokens from scored",
+    "alignment_trace": f"""with recursive {_CAND},
+texts as (select *, {norm('reference')} as rf, {norm('text_raw')} as hy from cand),
+{edits('texts')},
+rows as (select rf, hy, k, row from steps),
+walk as (
+  select rf, hy, r, h, len(r) as i, len(h) as j, 0 as back, null::varchar as op, null::varchar as ref, null::varchar as hyp from steps where k = 0
+  union all
+  select rf, hy, r, h, case when way = 'insertion' then i else i - 1 end, case when way = 'deletion' then j else j - 1 end, back + 1, way,
+    case when way <> 'insertion' then r[i] end, case when way <> 'deletion' then h[j] end
+  from (select w.*, case when i > 0 and j > 0 and r[i] = h[j] then 'correct'
+      when i > 0 and j > 0 and (here.row[j + 1] >> 48) = (above.row[j] >> 48) + 1 then 'substitution'
+      when i > 0 and (here.row[j + 1] >> 48) = (above.row[j + 1] >> 48) + 1 then 'deletion' else 'insertion' end as way
+    from walk w join rows here on here.rf = w.rf and here.hy = w.hy and here.k = w.i left join rows above on above.rf = w.rf and above.hy = w.hy and above.k = w.i - 1
+    where i > 0 or j > 0)),
+traces as (select rf, hy, op, ref, hyp, max(back) over (partition by rf, hy) - back as pos from walk where back > 0)
+select record_id, cast(rank as int) as rank, cast(pos as int) as pos, op, ref, hyp from texts join traces using (rf, hy)""",
     "wer_by_system": f"with recursive {scored(where='rank = 1')} {corpus('scored', 'system_id')}",
     "wer_corpus": f"with recursive {scored(where='rank = 1')} {corpus('scored')}",
     "cer_by_system": f"with recursive {scored(chars, 'rank = 1')} {corpus('scored', 'system_id')}",
@@ -167,10 +183,17 @@ line_scored as (select t.rank, substitutions, deletions, insertions, reference_t
 select c.*, without_reference from ({corpus('line_scored', 'rank')}) c join (select rank, count(*) filter (reference is null) as without_reference from texts group by 1) using (rank)""",
     "correction_diagnostics": f"""with {_CAND},
 first as (select utt_id, arg_min(reference, record_id) as reference, arg_min(text_raw, record_id) as text_raw from cand where rank = 1 and utt_id is not null group by 1),
-t as (select ec_system_id, {norm('reference')} as r, {norm('text_raw')} as b, {norm('output_raw')} as a from ec_outputs join first using (utt_id) where output_raw is not null)
-select *, case when utterances > 0 then exact_copies / utterances else 0.0 end as copy_rate from (
+u as (select ec_system_id, f.utt_id is null as lost, {norm('reference')} as r, {norm('text_raw')} as b, {norm('output_raw')} as a from ec_outputs left join first f using (utt_id)),
+t as (select * from u where not lost and a is not null),
+l as (select ec_system_id, count(*) filter (lost) as without_record from u group by 1)
+select *, case when utterances > 0 then exact_copies / utterances else 0.0 end as copy_rate from l left join (
   select ec_system_id, count(*) as utterances, count(*) filter (b = a) as exact_copies, count(*) filter (b = r and a <> r) as correct_to_wrong,
-    count(*) filter (b <> r and a = r) as wrong_to_correct, count(*) filter (b <> r and a <> r and b <> a) as wrong_to_other_wrong from t group by 1)""",
+    count(*) filter (b <> r and a = r) as wrong_to_correct, count(*) filter (b <> r and a <> r and b <> a) as wrong_to_other_wrong from t group by 1) using (ec_system_id)""",
+    "output_lengths": f"""with refs as (select utt_id, min(reference_raw) as reference from data_manifest where utt_id is not null and reference_raw is not null group by 1),
+t as (select ec_system_id, output_raw, truncated, reference, len({words(norm('coalesce(output_raw, ' + chr(39) * 2 + ')'))}) as h, len({words(norm('reference'))}) as r from ec_outputs left join refs using (utt_id))
+select *, output_words / nullif(reference_words, 0) as ratio from (
+  select ec_system_id, count(*) as outputs, count(*) filter (h = 0) as empty, count(*) filter (truncated) as truncated,
+    cast(coalesce(sum(h) filter (reference is not null), 0) as bigint) as output_words, cast(coalesce(sum(r), 0) as bigint) as reference_words from t group by 1)""",
     "werr_by_system": f"""with recursive {scored()}, {_ORACLE}
 select system_id, b.error_rate as baseline, o.error_rate as oracle, case when b.error_rate > 0 then (b.error_rate - o.error_rate) / b.error_rate * 100.0 end as werr
 from ({corpus('scored', 'system_id', where='rank = 1')}) b join ({corpus('best', 'system_id')}) o using (system_id)""",
@@ -259,6 +282,19 @@ select count(*) as replicates, avg(difference) as mean, quantile_disc(difference
             when 'true' then coalesce(len(h.token_logprobs), 0) = 0 when 'false' then coalesce(len(h.token_logprobs), 0) > 0 else false end, false))), false)""",
     }),
     "short_lists": f"select record_id, cast(coalesce(len(asr.hypotheses), 0) as int) as candidates from utterance_records where coalesce(len(asr.hypotheses), 0) < {N}",
+    "parsed_replies": r"""with p as (select exchange_id, coalesce(len(messages), 0) > 0 as asked, regexp_replace(regexp_replace(regexp_replace(coalesce(raw_response, ''), '^\s+|\s+$', '', 'g'), '^```[a-z]*\n?|\n?```$', '', 'g'), '^\s+|\s+$', '', 'g') as t from llm_exchanges),
+a as (select *, starts_with(t, '{') as j, case when starts_with(t, '{') and json_valid(t) then regexp_replace(coalesce(t ->> '$.transcript', t ->> '$.corrected', t ->> '$.answer', t ->> '$.text', t ->> '$.rank'), '^\s+|\s+$', '', 'g') end as answer from p),
+x as (select *, case when j then answer else t end as text from a),
+n as (select *, regexp_extract(lower(text), '^(?:rank|candidate)? ?#?(\d{1,4})[.)]?$', 1) as number,
+  case when not asked then 'not_applicable' when t = '' then 'empty' when j and answer is null then 'malformed' when text = '' then 'empty' else 'parsed' end as parser_status from x)
+select exchange_id, parser_status, case when parser_status = 'parsed' and number <> '' and number::int > 0 then number::int end as selected_candidate_rank,
+  case when parser_status = 'parsed' and number = '' then text end as text from n""",
+    "request_hashes": """with c as (select exchange_id, provider, model_id, messages,
+    '{' || array_to_string(list_transform(list_sort(json_keys(generation_parameters)), lambda k: '"' || k || '":' || (generation_parameters -> k)::varchar), ',') || '}' as settings from llm_exchanges),
+s as (select *, array_to_string(list_transform(messages, lambda m: coalesce(length(m.role) || ':' || m.role, '-') || coalesce(length(m.content) || ':' || m.content, '-')), '|') as said from c)
+select sha256(coalesce(length(provider) || ':' || provider, '-') || '/' || coalesce(length(model_id) || ':' || model_id, '-') || '/' || coalesce(length(said) || ':' || said, '-') || '/' || coalesce(length(settings) || ':' || settings, '-')) as request,
+  count(*) as exchanges, min(exchange_id) as first_exchange from s group by 1""",
+    "canonical_metadata": """select exchange_id, '{' || array_to_string(list_transform(list_sort(json_keys(generation_parameters)), lambda k: '"' || k || '":' || (generation_parameters -> k)::varchar), ',') || '}' as canonical from llm_exchanges""",
     "unanswered_requests": "select exchange_id, request_hash from llm_exchanges e where not exists (select 1 from llm_exchanges r where r.request_hash = e.request_hash and r.raw_response is not null)",
     "normalized_curve": f"""with recursive {scored()}, {_DECODABLE.replace('rows as', 'plain_rows as')},
 rows as (select * exclude (logscore, ec_score), {_standard('logscore')} as logscore, {_standard('ec_score')} as ec_score from plain_rows), {_CURVE} {corpus('chosen', 'lmb')}""",

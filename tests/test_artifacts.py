@@ -178,6 +178,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert got["metrics"]["diversity"]["requested_n"] == 2 and got["metrics"]["diversity"]["cross_wer"]["utterance_count"] == 2
     assert json.loads((tmp_path / "runs" / got["run_directory"].split("/")[-1] / "metrics.json").read_text()) == got["metrics"]
 
+    assert cli.main(["build-ec-pairs", "--artifact", made["path"], "--nbest", "2", "--output-root", str(tmp_path / "pairs")], spark) == 0
+    built = json.loads(capsys.readouterr().out)
+    assert (built["pairs"], built["records_without_pair"]) == (2, 0) and jsonl.training_pairs(spark, built["artifact"]["path"]).count() == 2
+    scores = tmp_path / "scores.jsonl"
+    scores.write_text("".join(json.dumps({"utt_id": u, "rank": k, "ec_score": -float(k)}) + "\n" for u in ("1-2-0000", "1-2-0001") for k in (1, 2)))
+    assert cli.main(["tune-lambda", "--artifact", made["path"], "--scores", str(scores)], spark) == 0
+    tuned = json.loads(capsys.readouterr().out)
+    assert len(tuned["curve"]) == 21 and tuned["error_rate"] == min(c["error_rate"] for c in tuned["curve"].values()) == tuned["curve"][f"{tuned['selected']:.2f}"]["error_rate"]
+    scores.write_text(json.dumps({"utt_id": "1-2-0000", "rank": 1, "ec_score": 0.0}) + "\n")
+    with pytest.raises(Exception, match="differ"):
+        cli.tune_weight(spark, tmp_path / made["path"], scores)
+
     bad = write(tmp_path / "bad.json", config | {"beam_size": 3})
     with pytest.raises(SystemExit):
         cli.main(["generate-nbest", "--config", str(bad)], spark)

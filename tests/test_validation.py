@@ -68,3 +68,28 @@ def test_consensus(spark):
     df = spark.createDataFrame([(("i",),), (("i",),)], "provenance struct<normalizer_id:string>")
     assert V.normalizer_consensus(df).first().consensus
     assert not V.normalizer_consensus(df.unionByName(df.select(F.struct(F.lit(None).cast("string").alias("normalizer_id")).alias("provenance")))).first().consensus
+
+
+def test_every_exchange_rule_can_break(spark):
+    """The tables at hand break none of these, so broken rows are made here."""
+    good = dict(request_hash="ab" * 32, provider="p", model_id="m", messages=[("user", "say")], selected_candidate_rank=None, parser_status="parsed", input_tokens=1, output_tokens=1, latency_ms=1.0, retry_count=0)
+    changes = {
+        "request_hash": {"request_hash": "AB" * 32}, "no_messages": {"messages": []}, "message": {"messages": [(" ", "x")]}, "blank_id": {"model_id": ""},
+        "negative_count": {"retry_count": -1}, "rank_value": {"selected_candidate_rank": 0}, "parser_status": {"parser_status": "fine"},
+    }
+    schema = "request_hash string, provider string, model_id string, messages array<struct<role:string,content:string>>, selected_candidate_rank int, parser_status string, input_tokens bigint, output_tokens bigint, latency_ms double, retry_count int"
+    rows = [tuple((good | c).values()) for c in ({}, *changes.values())]
+    counts = {r.violation: r.rows for r in V.violation_counts(spark.createDataFrame(rows, schema), V.exchange_rules()).collect()}
+    assert counts == {name: 1 for name in changes}
+
+
+def test_parsed_replies(spark):
+    from hypomill.operators import requests
+
+    cases = {
+        "The cat sat.": ("parsed", None, "The cat sat."), "3": ("parsed", 3, None), "Rank 2.": ("parsed", 2, None), '{"answer": "yes"}': ("parsed", None, "yes"), '{"rank": 4}': ("parsed", 4, None),
+        "```\nplain\n```": ("parsed", None, "plain"), "": ("empty", None, None), " \n": ("empty", None, None), '{"text": ""}': ("empty", None, None), '{"text": "cut': ("malformed", None, None), "{}": ("malformed", None, None), None: ("empty", None, None),
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "r string").select("r", requests.parse_reply(F.col("r"), F.lit(True)).alias("p")).collect()
+    assert {r.r: tuple(r.p) for r in got} == cases
+    assert spark.range(1).select(requests.parse_reply(F.lit("x"), F.lit(False)).alias("p")).first().p.parser_status == "not_applicable"
