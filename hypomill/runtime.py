@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -38,7 +39,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     A lost executor cannot lose the written table, and a stage that is read several times
-    is computed once. Tables are removed when the driver ends.
+    is computed once. Tables are removed by ``free``, at the latest when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -75,11 +77,18 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(target))
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     _shipped.add(sc.applicationId)
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def free() -> None:
+    """Remove all tables written so far.
+
+    A long session calls it between queries, once their results are read or written; at the
+    driver's end it is called anyway.
+    """
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -88,7 +97,7 @@ def _clean() -> None:
             pass
 
 
-atexit.register(_clean)
+atexit.register(free)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
