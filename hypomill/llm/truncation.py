@@ -237,31 +237,33 @@ def fitted_weights(patterns: list[tuple[tuple[str, ...], float | None, int]]) ->
     Expectation-maximization of a two-class model in which findings of different slots are
     independent within a class. What was seen little stays where it began.
     """
-    weights, base = dict(WEIGHTS), TRANSFER_PRIOR
-    slots = sorted({f.split("=")[0] for fs, _, _ in patterns for f in fs})
+    base = TRANSFER_PRIOR
     count = np.array([n for _, _, n in patterns], float)
-    free = np.array([o is None for _, o, _ in patterns])
+    known = np.array([math.nan if o is None else o for _, o, _ in patterns])
+    free = np.isnan(known)
     if not len(count) or not (count * free).sum():
-        return base, weights
+        return base, dict(WEIGHTS)
+    names = list(WEIGHTS)
+    place = {f: i for i, f in enumerate(names)}
+    slots = sorted({f.split("=")[0] for f in names})
+    slot_of = np.array([slots.index(f.split("=")[0]) for f in names])
+    begun = np.array([WEIGHTS[f] for f in names])
+    # one row a finding of a pattern
+    row = np.repeat(np.arange(len(patterns)), [len(fs) for fs, _, _ in patterns])
+    finding = np.array([place[f] for fs, _, _ in patterns for f in fs], np.int64)
+    weight = begun.copy()
     for _ in range(FIT_ROUNDS):
-        odds = np.array([(base if o is None else max(base, o)) + sum(weights[f] for f in fs) for fs, o, _ in patterns])
-        cut = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        for slot in slots:
-            n: dict[str, list[float]] = {}
-            for (fs, _, _), k, p in zip(patterns, count, cut):
-                for f in fs:
-                    if f.split("=")[0] == slot:
-                        both = n.setdefault(f, [0.0, 0.0])
-                        both[0] += k * p
-                        both[1] += k * (1 - p)
-            all_cut, all_whole = (sum(v[i] for v in n.values()) for i in (0, 1))
-            for f, (a, b) in n.items():
-                seen = a + b
-                fitted = math.log((a + 0.5) / (all_cut + 1)) - math.log((b + 0.5) / (all_whole + 1))
-                weights[f] = (seen * fitted + BEGUN_WEIGHT * WEIGHTS[f]) / (seen + BEGUN_WEIGHT)
-        rate = ((count * cut)[free].sum() + 0.5) / (count[free].sum() + 1)
-        base = (count[free].sum() * math.log(rate / (1 - rate)) + BEGUN_WEIGHT * TRANSFER_PRIOR) / (count[free].sum() + BEGUN_WEIGHT)
-    return base, weights
+        odds = np.where(free, base, np.fmax(known, base)) + np.bincount(row, weight[finding], len(patterns))
+        cut = count / (1 + np.exp(-np.clip(odds, -50, 50)))
+        is_cut, is_whole = (np.bincount(finding, v[row], len(names)) for v in (cut, count - cut))
+        all_cut, all_whole = (np.bincount(slot_of, v, len(slots))[slot_of] for v in (is_cut, is_whole))
+        seen = is_cut + is_whole
+        fitted = np.log((is_cut + 0.5) / (all_cut + 1)) - np.log((is_whole + 0.5) / (all_whole + 1))
+        weight = (seen * fitted + BEGUN_WEIGHT * begun) / (seen + BEGUN_WEIGHT)
+        texts = count[free].sum()
+        rate = (cut[free].sum() + 0.5) / (texts + 1)
+        base = float((texts * math.log(rate / (1 - rate)) + BEGUN_WEIGHT * TRANSFER_PRIOR) / (texts + BEGUN_WEIGHT))
+    return base, dict(zip(names, weight.tolist()))
 
 
 def weighed(rows: DataFrame) -> DataFrame:
