@@ -169,15 +169,40 @@ def errors(edits: Column) -> Column:
     return edits["substitutions"] + edits["deletions"] + edits["insertions"]
 
 
+#: Cells from which a table of costs is filled a row at a time, in an array.
+_ARRAY_CELLS = 5_000
+
+
+def _costs(ref: Sequence[str], hyp: Sequence[str]):
+    """Edit distances of all beginnings of two sequences, [i][j]."""
+    n, m = len(ref), len(hyp)
+    if n * m < _ARRAY_CELLS:
+        rows = [list(range(m + 1))]
+        for i, r in enumerate(ref, 1):
+            last, row = rows[-1], [i]
+            for j, h in enumerate(hyp, 1):
+                row.append(min(last[j - 1] + (r != h), last[j] + 1, row[-1] + 1))
+            rows.append(row)
+        return rows
+    ids: dict = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for t in ts], np.int32) for ts in (ref, hyp))
+    at = np.arange(m + 1, dtype=np.int32)
+    cost = np.empty((n + 1, m + 1), np.int16 if n + m < 2**15 else np.int32)
+    cost[0] = at
+    for i in range(1, n + 1):
+        last = cost[i - 1].astype(np.int32)
+        new = np.concatenate(([i], np.minimum(last[:-1] + (y != x[i - 1]), last[1:] + 1)))
+        # insertions: the least of what stands further left, one dearer for each step
+        cost[i] = np.minimum.accumulate(new - at) + at
+    return cost
+
+
 def trace_of(ref: Sequence[str], hyp: Sequence[str]) -> list[dict[str, str | None]]:
-    """The alignment's operations in order."""
-    cost = [[0] * (len(hyp) + 1) for _ in range(len(ref) + 1)]
-    for i in range(len(ref) + 1):
-        for j in range(len(hyp) + 1):
-            if not i or not j:
-                cost[i][j] = i + j
-            else:
-                cost[i][j] = min(cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    """The alignment's operations in order. What both end in alike is a match and needs no table."""
+    head, other = _without_common_end(ref, hyp)
+    same = [dict(op="correct", ref=t, hyp=t) for t in ref[len(head) :]]
+    ref, hyp = head, other
+    cost = _costs(ref, hyp)
     i, j, steps = len(ref), len(hyp), []
     while i or j:
         here = cost[i][j]
@@ -190,7 +215,7 @@ def trace_of(ref: Sequence[str], hyp: Sequence[str]) -> list[dict[str, str | Non
         else:
             j, step = j - 1, ("insertion", None, hyp[j - 1])
         steps.append(dict(zip(("op", "ref", "hyp"), step)))
-    return steps[::-1]
+    return steps[::-1] + same
 
 
 @F.pandas_udf(EDIT_OPERATIONS)

@@ -87,3 +87,18 @@ def test_native_form_equals_arrow_form(spark):
 def test_characters_ignore_plain_blanks_only(spark):
     row = spark.createDataFrame([("a b", "a c")], "r string, h string").select(A.char_edits(F.col("r"), F.col("h")).alias("e")).select("e.*").first()
     assert tuple(row) == (1, 0, 0, 2)
+
+
+def test_traces_of_long_texts_equal_those_of_short_ones():
+    small, A._ARRAY_CELLS = A._ARRAY_CELLS, 10**9
+    ps = pairs(200, 4) + [[list("ab" * 60 + "c"), list("ba" * 55 + "cc")]]
+    try:
+        want = [A.trace_of(r, h) for r, h in ps]
+        A._ARRAY_CELLS = 0
+        assert [A.trace_of(r, h) for r, h in ps] == want
+    finally:
+        A._ARRAY_CELLS = small
+    for (r, h), steps in zip(ps[:200], want):
+        ops = [x["op"] for x in steps]
+        assert [ops.count(o) for o in ("substitution", "deletion", "insertion")] == brute(r, h)[:3]
+        assert [x["ref"] for x in steps if x["ref"] is not None] == r and [x["hyp"] for x in steps if x["hyp"] is not None] == h
