@@ -7,6 +7,10 @@ that an evaluation and a training class share give a candidate. Each candidate i
 Word pairs are the shingle because the shortest admitted texts have 8 words: five-word
 shingles would leave nothing in common after one edit. Counts and links per row come from
 class sizes; only ``overlaps`` expands class pairs, because its result is defined on rows.
+
+Spark takes the size of a written or given table from its compressed files, and that of the
+buckets from the texts they are made of; both can be far too low. Joins with such tables are
+therefore held to sort and merge: no size that is only guessed sends a table through the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypomill.runtime import materialize
+from hypomill.runtime import SMALL_ROWS, materialize
 
 #: Texts under this many words match by utterance id only.
 MIN_WORDS = 8
@@ -177,13 +181,13 @@ def near_classes(classes: DataFrame) -> DataFrame:
     ne, nt = F.col("e") % 256, F.col("t") % 256
     may = (F.col("e") != F.col("t")) & (
         F.abs(ne - nt) * 100 <= EDIT_PERCENT * F.greatest(ne, nt)) | (F.greatest(ne, nt) == 255)
-    pairs = e.join(t, "bucket").where(may).select(
+    pairs = e.join(t.hint("merge"), "bucket").where(may).select(
         F.shiftright("e", 8).alias("eval_class"), F.shiftright("t", 8).alias("train_class")
     ).where("eval_class <> train_class").distinct()
     text = classes.select("class_id", "words")
     return (
-        pairs.join(text.toDF("eval_class", "a"), "eval_class")
-        .join(text.toDF("train_class", "b"), "train_class")
+        pairs.join(text.toDF("eval_class", "a").hint("merge"), "eval_class")
+        .join(text.toDF("train_class", "b").hint("merge"), "train_class")
         .select("eval_class", "train_class", "a", "b")
         .mapInArrow(_verify, "eval_class long, train_class long")
     )
@@ -208,10 +212,12 @@ class Overlap:
         )
         #: (row_id, utt_id, dataset, split, train, class_id) of every row with a text of MIN_WORDS words.
         self.members = materialize(
-            long.drop("class_id").join(classes.select("digest", "words", "class_id"), ["digest", "words"]).select("row_id", "utt_id", "dataset", "split", "train", "class_id"), "p4-members")
+            long.drop("class_id").join(classes.select("digest", "words", "class_id").hint("merge"), ["digest", "words"]).select("row_id", "utt_id", "dataset", "split", "train", "class_id"), "p4-members")
         same = classes.where("has_train and has_eval").select(F.col("class_id").alias("eval_class"), F.col("class_id").alias("train_class"))
         #: (eval_class, train_class): equal and near classes across the split.
         self.links = materialize(near_classes(classes).unionByName(same), "p4-links")
+        if self.links.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+            self.links = self.links.hint("merge")
 
 
 def overlaps(manifest: DataFrame) -> DataFrame:
@@ -224,7 +230,7 @@ def overlaps(manifest: DataFrame) -> DataFrame:
     by_id = _across(o.rows.where("utt_id is not null").select("row_id", "train", F.col("utt_id").alias("key")))
     by_text = (
         o.links.join(o.members.where("not train").select(F.col("class_id").alias("eval_class"), F.col("row_id").alias("e")), "eval_class")
-        .join(o.members.where("train").select(F.col("class_id").alias("train_class"), F.col("row_id").alias("t")), "train_class")
+        .join(o.members.where("train").select(F.col("class_id").alias("train_class"), F.col("row_id").alias("t")).hint("merge"), "train_class")
         .select(F.least("e", "t").alias("row_a"), F.greatest("e", "t").alias("row_b"))
     )
     return by_id.unionByName(by_text).distinct()
@@ -234,7 +240,7 @@ def _across(keyed: DataFrame) -> DataFrame:
     """Pairs of a training and another row with one key."""
     t = keyed.where("train").select("key", F.col("row_id").alias("t"))
     e = keyed.where("not train").select("key", F.col("row_id").alias("e"))
-    return e.join(t, "key").select(F.least("e", "t").alias("row_a"), F.greatest("e", "t").alias("row_b"))
+    return e.join(t.hint("merge"), "key").select(F.least("e", "t").alias("row_a"), F.greatest("e", "t").alias("row_b"))
 
 
 def row_links(manifest: DataFrame) -> DataFrame:

@@ -112,3 +112,28 @@ def test_repeated_words(spark):
         rows.append((None, "dev", " ".join(text)))
     got = {(r.row_a, r.row_b) for r in S.overlaps(manifest(spark, rows)).collect()}
     assert got <= {(2 * k, 2 * k + 1) for k in range(40)} and len(got) >= 38
+
+
+def test_no_table_goes_through_the_driver_by_its_guessed_size(spark, tmp_path, monkeypatch):
+    # buckets are 32 rows a text, but are taken for smaller than the texts' compressed files
+    rng = random.Random(10)
+    rows = []
+    for k in range(60):
+        text = [rng.choice("abcdefghijkl") * 3 + str(k) for _ in range(12)]
+        rows += [(f"u{k}", "train", " ".join(text)), (f"u{k % 7}", "dev", " ".join(text[:-1] + ["other"]))]
+    manifest(spark, rows).write.parquet(str(tmp_path / "manifest"))
+    given = spark.read.parquet(str(tmp_path / "manifest"))
+    near, plans = S.near_classes, []
+
+    def seen(classes):
+        plans.append(near(classes))
+        return plans[0]
+
+    monkeypatch.setattr(S, "near_classes", seen)
+    monkeypatch.setattr(S, "SMALL_ROWS", 10)
+    found = S.overlaps(given)
+    pairs = {(r.row_a, r.row_b) for r in found.collect()}
+    assert pairs <= brute(rows) and len(pairs) >= 0.99 * len(brute(rows))
+    for df in (plans[0], found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
